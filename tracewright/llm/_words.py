@@ -71,7 +71,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(column: pa.Array) -> Words:
+def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes, and the start, end and row of each word."""
     raw, offsets = text_bytes(column)
     data = _FOLD[raw]
     inside = data > 0
@@ -81,5 +82,9 @@ def words_of(column: pa.Array) -> Words:
     before[offsets[full]] = False
     after[offsets[full + 1] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
+    return data, start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def words_of(column: pa.Array) -> Words:
+    data, start, end, row = spans_of(column)
     return Words(data, start, end, row, hash_spans(data, start, end), len(column))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, near_dedup, quality, toxicity
 from .decontamination import find_contamination
 from .exact_dedup import classify_copies
 
@@ -13,6 +14,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -69,5 +86,12 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 """
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op7_exact_dedup": op7_exact_dedup}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
+    "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
+}
 ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op7_exact_dedup": OP7_SQL}
