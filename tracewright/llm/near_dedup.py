@@ -41,12 +41,14 @@ K = 5
 SIMILARITY = 0.8
 #: At 0.8 a sketch of 4 k-mers agrees with probability about 0.41, so 24 of them miss a pair in about 3 of a million.
 SKETCHES, LENGTH = 24, 4
-#: The first sketches that each round of comparisons with a drawn member looks at.
-ROUNDS = (2, 8, SKETCHES)
-#: Bits of a signature. For k-mer sets of similarity 0.8 the estimate's deviation is at most 0.04 from 64 k-mers on;
-#: pairs estimated below 0.65 there, or below 0.5 where either text has fewer, are not aligned.
+#: Rounds of comparisons with a drawn member: the sketches looked at (from, until), and which draw.
+ROUNDS = ((0, 2, 0), (2, 8, 0), (8, SKETCHES, 0), (0, SKETCHES, 1), (0, SKETCHES, 2))
+#: Texts that a round needs are picked by a broadcast of their keys up to so many (of 16 bytes), else by a shuffle.
+PICKED = 500_000
+#: Bits of a signature. At a similarity of 0.8 its estimate deviates by 0.027 from 256 k-mers on, and by at most 0.04
+#: from 64 on. Pairs estimated so far below 0.8 are not aligned: (k-mers of the shorter text below, margin).
 SIGNATURE = 512
-MARGIN, SMALL_MARGIN, SMALL = 0.15, 0.3, 64
+MARGINS = ((64, 0.3), (256, 0.15), (None, 0.1))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,16 +246,19 @@ def _fits(a: str, b: str, least: float) -> Column:
 def _alike(a: str, b: str, an: str, bn: str, least: float) -> Column:
     """Signatures that do not put the similarity far below ``least``."""
     differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SIGNATURE // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-    most = lambda margin: int(SIGNATURE / 2 * (1 - max(0.0, least - margin)))
-    return differ <= F.when(F.least(an, bn) < SMALL, most(SMALL_MARGIN)).otherwise(most(MARGIN))
+    most = [(size, int(SIGNATURE / 2 * (1 - max(0.0, least - margin)))) for size, margin in MARGINS]
+    limit = F.lit(most[-1][1])
+    for size, bits in reversed(most[:-1]):
+        limit = F.when(F.least(an, bn) < size, bits).otherwise(limit)
+    return differ <= limit
 
 
 def _roots(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float, sketches: int) -> DataFrame:
     """(node, root) of the texts that have a link. ``texts``: node, doc_id, n, sketches, signature."""
     members = texts.select("node", "doc_id", "n", F.posexplode("sketches").alias("place", "value")).select("node", "doc_id", "n", "place", F.xxhash64("place", "value").alias("bucket"))
-    drawn = F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n")
-    lead = members.groupBy("bucket").agg(F.min(drawn).alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    lead = lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    draws = range(1 + max(d for _, _, d in ROUNDS))
+    drawn = [F.min(F.struct(F.xxhash64("bucket", "node", F.lit(d)).alias("h"), "node", "n")).alias(f"lead{d}") for d in draws]
+    lead = members.groupBy("bucket").agg(*drawn, F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     members = materialise(members.join(lead, "bucket"), "near-buckets")
     found = materialise(_texts_of(docs, members.groupBy("node").agg(F.first("doc_id").alias("doc_id")), id_col, text_col), "near-texts")
     marks = texts.select("node", "n", "signature")
@@ -266,7 +271,9 @@ def _roots(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, least:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
-        more = materialise(_verify(pairs, found, least), "near-links")
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
+        more = materialise(_verify(pairs, found.join(wanted, "node", "left_semi"), least), "near-links")
         if roots is None or not more.isEmpty():
             # earlier links are as well stated by each text's root
             links = more if roots is None else more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
@@ -279,19 +286,22 @@ def _roots(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, least:
         at = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
         return rows.join(at, column, "left").withColumn(to, F.coalesce("_root", column)).drop("_root")
 
-    before = 0
-    for until in sorted({min(r, sketches) for r in ROUNDS} | {sketches}):
-        own = members.where((F.col("place") >= before) & (F.col("place") < until) & (F.col("node") != F.col("lead")) & _fits("n", "lead_n", least)).select("node", "lead").distinct()
-        compare(placed(placed(own, "node", "p"), "lead", "q").where("p != q").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(marked("a", "an", "x"), "a").join(marked("b", "bn", "y"), "b").where(_alike("x", "y", "an", "bn", least)).select("a", "b"))
-        before = until
-    at = placed(members.select("bucket", "node", "n"), "node", "root")
+    for start, until, d in ROUNDS:
+        lead = F.col(f"lead{d}.node")
+        own = members.where((F.col("place") >= start) & (F.col("place") < until) & (F.col("node") != lead)).select("node", "n", lead.alias("lead"), F.col(f"lead{d}.n").alias("lead_n"))
+        own = own.where(_fits("n", "lead_n", least)).select("node", "lead").distinct()
+        pairs = placed(placed(own, "node", "p"), "lead", "q").where("p != q").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        compare(pairs.join(marked("a", "an", "x"), "a").join(marked("b", "bn", "y"), "b").where(_alike("x", "y", "an", "bn", least)).select("a", "b"))
+    at = placed(members.select("bucket", "place", "node", "n"), "node", "root")
     parts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    at = materialise(at.join(main, "bucket").join(marks.select("node", "signature"), "node"), "near-open")
-    x = at.where("root != main").select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("signature").alias("x"))
-    y = at.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), "main", F.col("signature").alias("y"))
+    at = materialise(at.join(main, "bucket").join(texts.select("node", "signature", "sketches"), "node"), "near-open")
+    x = at.where("root != main").select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("signature").alias("x"), F.col("sketches").alias("xs"), "place")
+    y = at.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), "main", F.col("signature").alias("y"), F.col("sketches").alias("ys"))
+    # a pair counts in the first bucket that it shares
+    new = ~F.exists(F.zip_with(F.slice("xs", F.lit(1), F.col("place")), F.slice("ys", F.lit(1), F.col("place")), lambda p, q: p == q), lambda same: same)
     # two outsiders meet from both sides; the order keeps one of these pairs
-    compare(x.join(y, "bucket").where((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("an", "bn", least) & _alike("x", "y", "an", "bn", least)).select("a", "b"))
+    compare(x.join(y, "bucket").where((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("an", "bn", least) & _alike("x", "y", "an", "bn", least) & new).select("a", "b"))
     return roots
 
 
