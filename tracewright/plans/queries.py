@@ -14,7 +14,7 @@ from .alphabet import classify, shape
 #: DuckDB's view of the typed, segmented log over events.
 _EV = """
 WITH ev0 AS (
-  SELECT event_id, CAST(user_id AS VARCHAR) AS interaction_id, epoch_ms(ts) AS at_ms, event_type AS name, value AS amount, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+  SELECT event_id, CAST(user_id AS VARCHAR) AS interaction_id, epoch_us(ts) // 1000 AS at_ms, event_type AS name, value AS amount, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
          CASE event_type WHEN 'signup' THEN 'customer' WHEN 'error' THEN 'system' ELSE 'action' END AS speaker,
          CASE event_type WHEN 'error' THEN 'failed' END AS result,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS seq FROM events
