@@ -33,8 +33,8 @@ from ._util import bounded_batches, fold, text_slices
 from ._words import text_bytes
 
 DEPTH = 4
-MAX_GRAMS = 600_000
-MAX_CONTEXTS = 24_000
+MAX_GRAMS = 400_000
+MAX_CONTEXTS = 16_000
 #: The table of costs that goes to the tasks, at most; with many languages it holds fewer contexts.
 TABLE_BYTES = 64 << 20
 #: Languages learnt at most: those with most training rows (a table entry per language and context).
@@ -68,21 +68,24 @@ class Trees:
 
 
 def _costs(tree: Tree, counts: np.ndarray) -> np.ndarray:
-    """-log2 of the probability of each symbol in each context, for every kind."""
-    p = np.zeros(counts.shape)
-    n, d = counts.sum(axis=2, keepdims=True), (counts > 0).sum(axis=2, keepdims=True)
+    """-log2 of the probability of each symbol in each context, by context, symbol and kind."""
+    p = np.zeros(counts.shape, np.float32)
     for length in range(tree.depth + 1):
-        k = np.flatnonzero(tree.length == length)
-        shorter = p[tree.suffix[k]] if length else np.full((len(k), *counts.shape[1:]), 1 / tree.size)
-        met = counts[k] > 0
-        rest = np.where(met, 0, shorter)
-        left = rest.sum(axis=2, keepdims=True)
-        total = np.maximum(n[k], 1)
-        escape = np.where(left > 0, d[k] / (2 * total), 0)
-        own = np.where(met, (2 * counts[k] - 1) / (2 * total), 0)
-        own /= np.where(left > 0, 1, np.maximum(own.sum(axis=2, keepdims=True), 1e-300))
-        p[k] = np.where(n[k] > 0, own + escape * rest / np.maximum(left, 1e-300), shorter)
-    return -np.log2(np.maximum(p, 1e-30)).astype(np.float32)
+        every = np.flatnonzero(tree.length == length)
+        for k in (every[i : i + 1000] for i in range(0, len(every), 1000)):
+            c = counts[k].astype(np.float64)
+            shorter = p[tree.suffix[k]].astype(np.float64) if length else np.full(c.shape, 1 / tree.size)
+            n, d = c.sum(axis=2, keepdims=True), (c > 0).sum(axis=2, keepdims=True)
+            rest = np.where(c > 0, 0, shorter)
+            left = rest.sum(axis=2, keepdims=True)
+            total = np.maximum(n, 1)
+            escape = np.where(left > 0, d / (2 * total), 0)
+            own = np.where(c > 0, (2 * c - 1) / (2 * total), 0)
+            own /= np.where(left > 0, 1, np.maximum(own.sum(axis=2, keepdims=True), 1e-300))
+            p[k] = np.where(n > 0, own + escape * rest / np.maximum(left, 1e-300), shorter)
+    np.maximum(p, 1e-30, out=p)
+    np.log2(p, out=p)
+    return np.ascontiguousarray(-p.transpose(0, 2, 1))
 
 
 def train(rows: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_contexts: int = MAX_CONTEXTS, max_languages: int = MAX_LANGUAGES) -> Trees | None:
@@ -106,7 +109,7 @@ def train(rows: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, ma
     size = int((used > 0).sum()) + 1
     fits = TABLE_BYTES // (4 * size * len(languages))
     tree, counts, _ = build(counted, len(languages), size, depth, max(256, min(max_contexts, fits)))
-    return Trees(languages, alphabet, tree, np.ascontiguousarray(_costs(tree, counts).transpose(0, 2, 1)))
+    return Trees(languages, alphabet, tree, _costs(tree, counts))
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
