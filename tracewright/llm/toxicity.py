@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._contexts import Tree, build, count_grams, row_sums
-from ._util import bounded_batches, fold, text_slices
+from ._util import bounded_batches, fold, materialise, text_slices
 from ._words import spans_of
 
 DEPTH = 4
@@ -39,6 +39,8 @@ MAX_GRAMS = 600_000
 MAX_CONTEXTS = 24_000
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
+#: Labels (an id and a bit) are broadcast up to so many; with more, texts are joined with them by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: The symbol at the end of each word; no byte of a word has this value.
 END = 1
 #: The most toxic words of a text that the score sees.
@@ -166,14 +168,25 @@ def model_of(counted: pd.DataFrame, depth: int = DEPTH, max_contexts: int = MAX_
     return RatioModel(alphabet, tree, log_ratios(tree, nodes, compact, counts))
 
 
-def train(rows: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_contexts: int = MAX_CONTEXTS, sample_rows: int = SAMPLE_ROWS) -> RatioModel | float:
-    """Learn from ``rows`` (doc_id, text, y): a model, or the smoothed share of toxic rows where one kind is missing."""
-    bounded_batches(rows.sparkSession)
+def label_rows(labels: DataFrame, label: str, learn: Column, id_col: str) -> DataFrame:
+    """(doc_id, kind) of the ids that may be learnt from; of an id with several labels the largest counts."""
+    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("kind")).where(F.col("kind").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    return y.groupBy("doc_id").agg(F.max("kind").alias("kind"))
+
+
+def train(docs: DataFrame, kinds: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_contexts: int = MAX_CONTEXTS, sample_rows: int = SAMPLE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> RatioModel | float:
+    """Learn from the texts of ``docs`` (doc_id, text) whose ids are in ``kinds`` (doc_id, kind): a model, or the
+    smoothed share of toxic rows where one kind is missing. Texts stay where they are as long as the ids can be broadcast."""
+    bounded_batches(docs.sparkSession)
+    kinds = materialise(kinds, "toxicity-labels")
     kept = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) == 0
-    rows = rows.select("doc_id", F.col("y").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = count_grams(rows.where(~kept), word_symbols, depth, max_grams)
+    learnt = kinds.where(~kept)
+    chosen = kinds.where(kept).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    few = kinds.count() <= broadcast_rows
+    texts = lambda ids: docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id").select("kind", "text")
+    counted = count_grams(texts(learnt), word_symbols, depth, max_grams)
     model = model_of(counted, depth, max_contexts)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
@@ -181,7 +194,7 @@ def train(rows: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, ma
                 f = sent.value.features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("kind"), pa.array(list(f), pa.list_(pa.float64()))], names=["kind", "x"])
 
-    got = rows.where(kept).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).mapInArrow(measure, "kind int, x array<double>").toPandas()
+    got = texts(chosen).mapInArrow(measure, "kind int, x array<double>").toPandas()
     y = got["kind"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max() or counted["kind"].nunique() < 2:
         return float((y.sum() + 1) / (len(y) + 2))
@@ -191,19 +204,14 @@ def train(rows: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, ma
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, y) of labelled rows; of an id with several labels the largest counts."""
-    y = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id")
-
-
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("log_ratio", T.DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted and the mean log-ratio of every row; learns from rows not held out."""
     bounded_batches(docs.sparkSession)
-    model = train(labelled(docs, labels, label, fold(F.col("doc_id"), folds) != held, id_col=id_col, text_col=text_col), sample_rows=sample_rows)
+    kinds = label_rows(labels, label, fold(F.col("doc_id"), folds) != held, id_col)
+    model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kinds, sample_rows=sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
