@@ -62,7 +62,7 @@ class TestWindows:
         terms, ids = np.unique(words.hash, return_inverse=True)
         ends = np.cumsum(words.counts())
         held: dict[tuple[int, ...], set[int]] = {}
-        for (item, _), lo, hi in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        for (item, _), lo, hi in zip(rows, (ends - words.counts()).tolist(), ends.tolist(), strict=True):
             own = ids[lo:hi].tolist()
             for k in range(max(1, len(own) - width + 1) if own else 0):
                 held.setdefault(tuple(own[k : k + width]), set()).add(number[item])
@@ -96,13 +96,14 @@ class Shard:
         rarity = np.argsort(length[alive], axis=1, kind="stable")
         todo = length[alive, rarity[:, 0]]
         found_w, found_s = [], []
-        cuts = np.searchsorted(np.cumsum(todo), np.arange(_STEP, int(todo.sum()) + _STEP, _STEP), "right")
-        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-            if hi <= lo:
-                hi = min(lo + 1, len(alive))
+        upto, lo = np.cumsum(todo), 0
+        while lo < len(alive):
+            # as many windows as _STEP candidates allow, at least one
+            hi = max(lo + 1, int(np.searchsorted(upto, _STEP + (upto[lo - 1] if lo else 0), "right")))
             for w, s in self._expand(alive[lo:hi], rarity[lo:hi], todo[lo:hi], slop):
                 found_w.append(w)
                 found_s.append(s)
+            lo = hi
         if not found_w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(found_w), np.concatenate(found_s)
