@@ -14,8 +14,8 @@ them), so only these are searched further, and their lists are merged.
 Characters without a piece become byte pieces where the model has them, else the
 unknown piece. So do literal U+2581 characters, which otherwise stand for spaces;
 decoding gives the text back exactly with byte pieces. Defined results: null
-counts as empty; the empty text has one segmentation, of no pieces. Ties go to
-the shorter last piece first.
+counts as empty; the empty text has one segmentation, of no pieces. Ties come in
+a fixed order.
 """
 
 from __future__ import annotations
@@ -248,12 +248,17 @@ class Lattice:
         while heap and len(out) < n:
             f, _, g, at, tail = heapq.heappop(heap)
             if at == 0:
-                out.append((-f, tuple(i for x in tail for i in x)))
+                ids = []
+                while tail:
+                    ids.extend(tail[0])
+                    tail = tail[1]
+                out.append((-f, tuple(ids)))
                 continue
             for start, s, ids in reversed(into[at]):
                 if best[start] > -_INF:
-                    order += 1
-                    heapq.heappush(heap, (-(best[start] + s + g), order, g + s, start, (ids, *tail)))
+                    # of equal sums the latest goes first, so that ties are followed to their end
+                    order -= 1
+                    heapq.heappush(heap, (-(best[start] + s + g), order, g + s, start, (ids, tail)))
         return out
 
     def chunks(self, text: str) -> list[str]:
