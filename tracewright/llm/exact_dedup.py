@@ -104,6 +104,15 @@ def maybe_repeated(spark, bits: np.ndarray, m: int):
     return test
 
 
+def may_be_among(keys: DataFrame, column: str, n_rows: int, max_bits: int = MAX_BITS):
+    """A column function: may a hash be one of ``keys``? Each key counts twice, so that all its bits are met again.
+
+    Of other hashes few pass while the filter has the bits it needs; what follows must be exact in any case.
+    """
+    twice = keys.select(F.explode(F.array(column, column)).alias(column))
+    return maybe_repeated(keys.sparkSession, *possibly_repeated(twice, column, n_rows, max_bits))
+
+
 def classify_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession

@@ -15,9 +15,10 @@ texts in different components are compared in later rounds. In the end, texts of
 one bucket that are still in different components are compared all, those
 outside the bucket's largest component with every other member. So no candidate
 pair that could join two classes is left out. Pairs whose sizes rule out 0.8 are
-not aligned, nor are pairs whose signatures of 512 one-bit MinHash values put
-their similarity far below it (see MARGIN); so texts travel only for pairs that
-are links or nearly so.
+not aligned, nor are pairs whose signatures rule it out: 512 parity bits of the
+k-mers, which differ in no more places than the k-mers do, and for texts of 256
+k-mers or more 512 one-bit MinHash values, which put the similarity far below 0.8
+(see MARGIN). So texts travel only for pairs that are links or nearly so.
 
 Defined results: a text without words is a class of its own. A text of fewer than
 five words is one k-mer of all its words. A class is named by its smallest
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._util import bounded_batches, materialise, text_slices
 from ._words import Words, mix, words_of
-from .exact_dedup import lookup
+from .exact_dedup import lookup, may_be_among
 
 K = 5
 SIMILARITY = 0.8
@@ -45,10 +46,10 @@ SKETCHES, LENGTH = 24, 4
 ROUNDS = ((0, 2, 0), (2, 8, 0), (8, SKETCHES, 0), (0, SKETCHES, 1), (0, SKETCHES, 2))
 #: Texts that a round needs are picked by a broadcast of their keys up to so many (of 16 bytes), else by a shuffle.
 PICKED = 500_000
-#: Bits of a signature. At a similarity of 0.8 its estimate deviates by 0.027 from 256 k-mers on, and by at most 0.04
-#: from 64 on. Pairs estimated so far below 0.8 are not aligned: (k-mers of the shorter text below, margin).
+#: Bits of either half of a signature. At a similarity of 0.8 the MinHash estimate of texts of LONG or more k-mers
+#: deviates by 0.027. Of these, pairs estimated more than MARGIN below 0.8 are not aligned.
 SIGNATURE = 512
-MARGINS = ((64, 0.3), (256, 0.15), (None, 0.1))
+LONG, MARGIN = 256, 0.1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,7 +97,8 @@ def sketch(kmers: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH) ->
 
 
 def signature(kmers: np.ndarray, bins: int = SIGNATURE) -> np.ndarray:
-    """One bit of the least hash in each of ``bins`` bins, as longs; an empty bin borrows from the next filled one, marked by the distance."""
+    """Two halves, as longs. One bit of the least hash in each of ``bins`` bins, where an empty bin borrows from the
+    next filled one, marked by the distance; and in each of ``bins`` other bins the parity of its number of k-mers."""
     h = np.sort(mix(kmers ^ np.uint64(0x5851F42D4C957F2D)))
     at = (h >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
     first = np.concatenate([[True], at[1:] != at[:-1]])
@@ -106,7 +108,9 @@ def signature(kmers: np.ndarray, bins: int = SIGNATURE) -> np.ndarray:
     wraps = source == len(filled)
     source[wraps] = 0
     distance = filled[source] - every + bins * wraps
-    return np.packbits((mix(least[source] + distance.astype(np.uint64) * _GOLD) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    bits = mix(least[source] + distance.astype(np.uint64) * _GOLD) & np.uint64(1)
+    parity = np.bincount((mix(kmers ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(np.concatenate([bits, parity]).astype(np.uint8)).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -184,7 +188,9 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     """(node, text) of the texts in ``wanted`` (node, doc_id): rows are found by id, then told apart by their words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = wanted.groupBy("doc_id").agg(F.lit(1).alias("_")).drop("_")
-    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    ids = materialise(ids, "near-ids")
+    some = may_be_among(ids.select(F.xxhash64("doc_id").alias("h")), "h", ids.count())
+    rows = rows.where(some(F.xxhash64("doc_id"))).join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
 
     def keyed(batches):
         for batch in batches:
@@ -244,18 +250,24 @@ def _fits(a: str, b: str, least: float) -> Column:
 
 
 def _alike(a: str, b: str, an: str, bn: str, least: float) -> Column:
-    """Signatures that do not put the similarity far below ``least``."""
-    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SIGNATURE // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-    most = [(size, int(SIGNATURE / 2 * (1 - max(0.0, least - margin)))) for size, margin in MARGINS]
-    limit = F.lit(most[-1][1])
-    for size, bits in reversed(most[:-1]):
-        limit = F.when(F.least(an, bn) < size, bits).otherwise(limit)
-    return differ <= limit
+    """Signatures that do not rule out a similarity of ``least``.
+
+    Texts of that similarity differ in at most (1 - least) / (1 + least) of their k-mers, and each of these changes
+    one parity at most, so the second half never rules out a link.
+    """
+    words = SIGNATURE // 64
+    differ = lambda start: sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(start + 1, start + words)), F.bit_count(F.col(a)[start].bitwiseXOR(F.col(b)[start])))
+    apart = F.floor((F.col(an) + F.col(bn)) * F.lit((1 - least) / (1 + least)) + 1e-6)
+    near = differ(0) <= int(SIGNATURE / 2 * (1 - max(0.0, least - MARGIN)))
+    return (differ(words) <= apart) & ((F.least(an, bn) < LONG) | near)
 
 
 def _roots(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float, sketches: int) -> DataFrame:
     """(node, root) of the texts that have a link. ``texts``: node, doc_id, n, sketches, signature."""
     members = texts.select("node", "doc_id", "n", F.posexplode("sketches").alias("place", "value")).select("node", "doc_id", "n", "place", F.xxhash64("place", "value").alias("bucket"))
+    # most buckets hold one text: they are found by their numbers alone, and what may be in others shuffles whole
+    shared = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket"), "near-shared")
+    members = members.where(may_be_among(shared, "bucket", shared.count())("bucket"))
     draws = range(1 + max(d for _, _, d in ROUNDS))
     drawn = [F.min(F.struct(F.xxhash64("bucket", "node", F.lit(d)).alias("h"), "node", "n")).alias(f"lead{d}") for d in draws]
     lead = members.groupBy("bucket").agg(*drawn, F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
