@@ -107,11 +107,12 @@ def joined_text(rows: DataFrame, keys: list[str], seq: str, text: str) -> DataFr
     return rows.groupBy(*keys).agg(F.nullif(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), F.lit("")).alias("text"))
 
 
-# Words of the shell.
+# Words of the shell, flags that take a value, and the mark of a heredoc.
 PREFIXES = frozenset("sudo time nohup exec command env nice xargs".split())
-KEYWORDS = frozenset("if then else elif fi for do done while until case esac in function { } ( ) [[ ]] ! select".split())
-MULTIPLEXERS = {"git": ("-C", "-c", "--git-dir", "--work-tree"), "npm": ("--prefix",), "docker": ("-H", "--host"), "kubectl": ("-n", "--namespace", "--context"), "gh": ("-R", "--repo"), "cargo": (), "pip": (), "yarn": (), "pnpm": (), "aws": ("--profile", "--region"), "gcloud": ("--project",), "az": (), "terraform": (), "go": (), "systemctl": ()}
-_HEREDOC = re.compile(r"(?<!<)<<-?\s*(['\"]?)([A-Za-z_][\w.-]*)\1")
+KEYWORDS = frozenset("for do done if then else elif fi while until case esac in function select return break continue".split())
+MULTIPLEXERS = frozenset("git npm npx pnpm yarn bun gh aws gcloud az docker kubectl cargo go python python3 node dotnet terraform systemctl apt brew".split())
+VALUE_FLAGS = frozenset("-C -c --git-dir --work-tree --exec-path --config --prefix --cwd -w --workspace".split())
+_HEREDOC = re.compile(r"(?<!<)<<-?\s*(['\"]?)([A-Za-z_][A-Za-z0-9_]*)\1(?!<)")
 
 
 def without_heredocs(command: str) -> str:
@@ -122,7 +123,7 @@ def without_heredocs(command: str) -> str:
                 tags.pop(0)
             continue
         out.append(line)
-        tags = [m[2] for m in _HEREDOC.finditer(line.replace("<<<", "   "))]
+        tags = [m[2] for m in _HEREDOC.finditer(line)]
     return "\n".join(out)
 
 
@@ -151,33 +152,38 @@ def segments(command: str) -> list[str]:
     return [s.strip() for s in out if s.strip()]
 
 
-def verb_of(segment: str) -> tuple[str | None, str | None]:
-    """The command of a segment and, for tools of many commands, its first word."""
+def _command(segment: str) -> list[str]:
+    """The words of a segment from its command on: assignments and prefixes are left out, a substitution's command counts."""
     words = segment.split()
-    while words:
-        if m := re.match(r"^[A-Za-z_]\w*=(?:\$\(|`)(.*)$", words[0]):
+    while words and re.match(r"[A-Za-z_]\w*=", words[0], re.ASCII):
+        if m := re.match(r"\w+=(?:\$\(|`)(.+)", words[0], re.ASCII):
             words[0] = m[1]
-            if not words[0]:
-                words.pop(0)
-        elif re.match(r"^[A-Za-z_]\w*=", words[0]) or words[0] in PREFIXES:
-            words.pop(0)
-        else:
             break
+        words.pop(0)
+    while words and words[0] in PREFIXES:
+        words.pop(0)
     if not words or words[0].startswith("#"):
+        return []
+    name = words[0].lstrip("('\"`").rstrip("/").rpartition("/")[2]
+    return [name, *words[1:]] if re.fullmatch(r"[A-Za-z_][\w.+-]*", name, re.ASCII) else []
+
+
+def is_syntax(segment: str) -> bool:
+    return _command(segment)[:1] != [] and _command(segment)[0] in KEYWORDS
+
+
+def verb_of(segment: str) -> tuple[str | None, str | None]:
+    """The command of a segment and, for tools of many commands, its first word that is no flag, no flag's value and no path."""
+    verb, *words = _command(segment) or [None]
+    if verb is None or verb in KEYWORDS:
         return None, None
-    verb = re.split(r"[\\/]", words[0].strip("\"'()`"))[-1]
-    if not re.match(r"^[A-Za-z_][\w.+-]*$", verb):
-        return None, None
-    if verb not in MULTIPLEXERS:
-        return verb, None
-    skip = False
-    for w in words[1:]:
-        if skip:
-            skip = False
-        elif w in MULTIPLEXERS[verb]:
-            skip = True
-        elif not w.startswith("-") and "/" not in w:
-            return verb, w if re.match(r"^[A-Za-z_][\w:.-]*$", w) else None
+    if verb in MULTIPLEXERS:
+        skip = False
+        for w in words:
+            if skip or w.startswith("-"):
+                skip = not skip and w in VALUE_FLAGS
+            elif not re.search(r"[/\\]", w):
+                return verb, w if re.fullmatch(r"[A-Za-z_][\w:.-]*", w, re.ASCII) else None
     return verb, None
 
 
@@ -188,7 +194,7 @@ def shell_parts(command: Column) -> Column:
     def run(commands: pd.Series) -> pd.Series:
         out = []
         for c in commands:
-            got = [] if c is None else [{"segment": s, "verb": v, "sub": b} for s in segments(c) for v, b in [verb_of(s)] if s.split()[0] not in KEYWORDS]
+            got = [] if c is None else [{"segment": s, "verb": v, "sub": b} for s in segments(c) for v, b in [verb_of(s)] if not is_syntax(s)]
             out.append(got or [{"segment": "", "verb": None, "sub": None}])
         return pd.Series(out)
 
