@@ -172,7 +172,7 @@ def _quadrants(g: np.ndarray, h: np.ndarray, l2: float) -> tuple[float, np.ndarr
     return float(won[i, j]), out
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 48, pair_bins: int = 12, rounds: int = 120, pair_rounds: int = 40, n_pairs: int = 8, rate: float = 0.15, leaves: int = 3, l2: float = 2.0) -> AdditiveModel:
+def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 48, pair_bins: int = 24, rounds: int = 120, pair_rounds: int = 40, n_pairs: int = 8, rate: float = 0.15, leaves: int = 3, l2: float = 2.0) -> AdditiveModel:
     """Boost in turn over the measures, then over the pairs that gain most on what is left."""
     if not len(y):
         return AdditiveModel()
