@@ -246,6 +246,57 @@ def test_toxicity(spark, odd):
     assert toxicity.classify(odd, labels(spark, [(i, 1, i % 2) for i in range(1, 10)])).count() == len(ODD)
 
 
+def test_toxicity_keeps_every_context(spark):
+    """Against a plain Kneser-Ney over dictionaries, with more contexts than any fixed bound; in one table and in blocks."""
+    rng = random.Random(6)
+    pick = lambda y, n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) + ("qq" if y else "") for _ in range(n)]
+    words = [(y, w) for y, n in ((0, 9000), (1, 400)) for w in pick(y, n)]
+    df = spark.createDataFrame([(y, " ".join(w for z, w in words[k : k + 50] if z == y)) for k in range(0, len(words), 50) for y in (0, 1)], "kind int, text string")
+    counts, grams = [Counter(), Counter()], set()
+    for y, w in words:
+        s = "\0" * 4 + w + "\1"
+        for k in range(4, len(s)):
+            grams.add(s[k - 4 : k + 1])
+            for d in range(5):
+                counts[y][s[k - d : k + 1]] += 1
+    cont = Counter(g for d in range(4) for g in {x[-d - 2 :] for x in grams} for g in [g[1:]]) + Counter(grams)
+    tables = [cont, *counts]
+    cut = lambda c, d: toxicity._discount(sum(v == 1 for g, v in c.items() if len(g) == d + 1), sum(v == 2 for g, v in c.items() if len(g) == d + 1))
+    cuts = [[cut(c, d) for d in range(5)] for c in tables]
+    after = [{} for _ in tables]
+    for c, by in zip(tables, after, strict=True):
+        for g, v in c.items():
+            by.setdefault(g[:-1], []).append(v)
+    assert sum(len(h) > 0 for h in after[0]) > 24_000
+    size = len({g[-1] for g in grams}) + 1
+
+    def p(k, h, x):
+        got = after[k].get(h)
+        if got is None:
+            return p(0, h, x) if k else p(0, h[1:], x)
+        cut = cuts[k][len(h)]
+        below = p(0, h[1:], x) if h else 1 / size
+        return (max(tables[k][h + x] - cut, 0) + sum(min(v, cut) for v in got) * below) / sum(got)
+
+    def value(word):
+        s, total = "\0" * 4 + word + "\1", 0.0
+        for k in range(4, len(s)):
+            h = next(s[k - d : k] for d in range(4, -1, -1) if s[k - d : k] in after[0])
+            total += np.log(p(2, h, s[k])) - np.log(p(1, h, s[k]))
+        return total
+
+    tests = [w for _, w in words[::977]] + pick(0, 5) + pick(1, 5)
+    summed = toxicity.sum_grams(df, toxicity.word_symbols, 4)
+    asked = spark.createDataFrame([(k, f"{w} {w}") for k, w in enumerate(tests)] + [(99, "!"), (98, None)], "doc_id long, text string").fillna("", "text")
+    for rows in (toxicity.BLOCK_ROWS, 20_000):
+        model = toxicity.model_of(summed, block_rows=rows)
+        assert len(model.blocks) == 1 or rows == 20_000
+        got = {r["doc_id"]: r["x"] for r in toxicity.features(asked, "doc_id long", model).collect()}
+        assert got[99] == got[98] == [0.0] * 4
+        for k, w in enumerate(tests):
+            assert np.allclose(got[k], [value(w) / (len(w) + 1), value(w), value(w), 0], atol=1e-3)
+
+
 def brute_paths(m, chunk):
     into = {}
     for start, end, s, ids in m.arcs(chunk):

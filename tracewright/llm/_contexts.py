@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import text_slices
+from ._util import materialise, text_slices
 
 #: The symbol that stands before a text, and for every byte that training never met.
 EDGE = 0
@@ -39,12 +39,11 @@ def grams(symbols: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def count_grams(rows: DataFrame, symbols_of, depth: int, max_grams: int) -> tuple[pd.DataFrame, dict]:
-    """Counts of (kind, gram) over all ``rows`` (kind int, text string), summed by Spark.
+def sum_grams(rows: DataFrame, symbols_of, depth: int) -> DataFrame:
+    """(kind, gram, n): the counts of all grams of all ``rows`` (kind int, text string), summed by Spark and stored.
 
     ``symbols_of(column)`` gives the symbols, the offsets of the runs that contexts stay within,
-    and the row of each symbol. What reaches the driver is bounded: grams below the least count that lets ``max_grams`` through are left
-    out of the tables, where a shorter context then answers for them.
+    and the row of each symbol.
     """
 
     def count(batches):
@@ -72,9 +71,13 @@ def count_grams(rows: DataFrame, symbols_of, depth: int, max_grams: int) -> tupl
             for k in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u[k : k + 100_000]), kind, np.int32)), pa.array(u[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], names=["kind", "gram", "n"])
 
-    from ._util import materialise
+    return materialise(rows.select("kind", "text").mapInArrow(count, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")), "grams")
 
-    summed = materialise(rows.select("kind", "text").mapInArrow(count, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")), "grams")
+
+def count_grams(rows: DataFrame, symbols_of, depth: int, max_grams: int) -> pd.DataFrame:
+    """The summed grams on the driver. Grams below the least count that lets ``max_grams`` through are left
+    out of the tables, where a shorter context then answers for them."""
+    summed = sum_grams(rows, symbols_of, depth)
     # how many grams have so large a count, in steps of an eighth of a doubling
     steps = {r["s"]: r["k"] for r in summed.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()}
     total, least = 0, 0.0
@@ -86,6 +89,45 @@ def count_grams(rows: DataFrame, symbols_of, depth: int, max_grams: int) -> tupl
     return summed.where(F.col("n") >= least - 1e-9).toPandas().sort_values(["kind", "gram"], ignore_index=True)
 
 
+@dataclass(frozen=True)
+class Block:
+    """The grams of some kinds, of one part of the contexts: what a task holds at once. Contexts fall into parts by their
+    two newest symbols, so that a part holds every longer context together with all that follow it."""
+
+    kinds: tuple[int, ...]
+    parts: int = 1
+    part: int = 0
+
+    def rows(self, summed: DataFrame) -> DataFrame:
+        mine = F.pmod(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)) * F.lit(_SPREAD), F.lit(65536)) % F.lit(self.parts) == self.part
+        return summed.where(F.col("kind").between(min(self.kinds), max(self.kinds)) & mine)
+
+    def holds(self, gram: np.ndarray) -> np.ndarray:
+        return (((gram >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(_SPREAD) % np.uint64(65536)) % np.uint64(self.parts) == self.part
+
+
+_SPREAD = 40503
+
+
+def mask(symbols: int) -> np.uint64:
+    """The newest ``symbols`` of a gram."""
+    return np.uint64((1 << (8 * symbols)) - 1)
+
+
+def tally(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of the counts of each."""
+    u, at = np.unique(keys, return_inverse=True)
+    return u, *(np.bincount(at, c, len(u)) for c in counts)
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted key among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
 @dataclass
 class Tree:
     """Contexts in order of length, and their counts by kind and next symbol."""
