@@ -228,6 +228,28 @@ def test_ppm_probabilities_sum_to_one(spark):
     assert np.allclose(np.exp2(-m.bits.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_language_keeps_every_context(spark):
+    """A small language beside a large one keeps its contexts, and blocks give what one table gives."""
+    rng = random.Random(9)
+    pick = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    large = [("aa", pick(100)) for _ in range(60)]
+    small = [("zz", pick(100))]
+    rows = spark.createDataFrame(large + small, "lang string, text string")
+    model = language.train(rows)
+    # every position's whole context was met, so each costs less than in no context at all
+    met = {t[max(0, k - 4) : k].rjust(4, "\0") for _, t in large + small for k in range(len(t))}
+    assert len(met) > 16_000 and len({int(h) for levels in model.tables.values() for h in levels[4].context}) == len(met)
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(small + large[:5])] + [(90, None), (91, "ÿ#x"), (92, "12")], "doc_id long, text string")
+    one = by_id(language.identify(docs, model, F.lit(True)))
+    assert one[0]["lang_pred"] == "zz" and one[1]["lang_pred"] == "aa" and one[90]["lang_pred"] == "und"
+    split = language.train(rows, block_rows=9_000)
+    assert len(split.blocks) > 3
+    for i, r in by_id(language.identify(docs, split, F.lit(True))).items():
+        assert r["lang_pred"] == one[i]["lang_pred"] and np.allclose([r["score"], r["bits_per_byte"]], [one[i]["score"], one[i]["bits_per_byte"]], atol=1e-5)
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(4)
     rows, y = [], []

@@ -1,9 +1,8 @@
-"""Byte context trees as automata, for models that predict a byte from those before it.
+"""Grams: bytes with the contexts before them, for models that predict a byte from those before it.
 
-A tree holds contexts of up to ``depth`` bytes, with every shorter suffix and
-prefix of each. ``delta`` is the automaton that, read from the root over the last
-``depth`` bytes, ends at the longest suffix that the tree holds. All positions of
-a batch are walked at once, so a text costs ``depth`` table lookups per byte.
+All grams of all texts are counted. Models keep them as sorted arrays, one for
+each length of context, so that what a text needs is found by binary search over
+its different grams. Tables too large for a task are split into blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,21 +72,6 @@ def sum_grams(rows: DataFrame, symbols_of, depth: int) -> DataFrame:
     return materialise(rows.select("kind", "text").mapInArrow(count, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def count_grams(rows: DataFrame, symbols_of, depth: int, max_grams: int) -> pd.DataFrame:
-    """The summed grams on the driver. Grams below the least count that lets ``max_grams`` through are left
-    out of the tables, where a shorter context then answers for them."""
-    summed = sum_grams(rows, symbols_of, depth)
-    # how many grams have so large a count, in steps of an eighth of a doubling
-    steps = {r["s"]: r["k"] for r in summed.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    total, least = 0, 0.0
-    for s in sorted(steps, reverse=True):
-        if total + steps[s] > max_grams:
-            least = 2 ** ((s + 1) / 8)
-            break
-        total += steps[s]
-    return summed.where(F.col("n") >= least - 1e-9).toPandas().sort_values(["kind", "gram"], ignore_index=True)
-
-
 @dataclass(frozen=True)
 class Block:
     """The grams of some kinds, of one part of the contexts: what a task holds at once. Contexts fall into parts by their
@@ -128,77 +111,6 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == wanted
 
 
-@dataclass
-class Tree:
-    """Contexts in order of length, and their counts by kind and next symbol."""
-
-    depth: int
-    size: int  # of the alphabet
-    delta: np.ndarray  # contexts x size -> context
-    suffix: np.ndarray  # the context without its oldest symbol
-    length: np.ndarray
-
-    def states(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The context of each position, from up to ``depth`` symbols before it in its run."""
-        flat = self.delta.reshape(-1)
-        state = flat[shifted(symbols, offsets, self.depth)]
-        for k in range(self.depth - 1, 0, -1):
-            state = flat[state * np.int32(self.size) + shifted(symbols, offsets, k)]
-        return state
-
-
-def build(counted: pd.DataFrame, n_kinds: int, size: int, depth: int, max_contexts: int) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """The tree of the most frequent contexts, closed under prefix and suffix; counts[context, kind, symbol]; the contexts."""
-    gram = counted["gram"].to_numpy().view(np.uint64)
-    kind, n = counted["kind"].to_numpy(), counted["n"].to_numpy().astype(np.float64)
-    symbol = (gram & np.uint64(255)).astype(np.int64)
-    past = gram >> np.uint64(8)
-    chosen: set[tuple[int, int]] = {(0, 0)}
-    per_depth = []
-    for d in range(1, depth + 1):
-        own = past & np.uint64((1 << (8 * d)) - 1)
-        u, at = np.unique(own, return_inverse=True)
-        per_depth.append((u, np.bincount(at, n, len(u))))
-    ranked = sorted(((-c, d, int(x)) for d, (u, w) in enumerate(per_depth, 1) for x, c in zip(u.tolist(), w.tolist(), strict=True)))
-    for _, d, x in ranked:
-        if len(chosen) >= max_contexts:
-            break
-        # with a context come its suffixes (newest symbols) and its prefixes (oldest symbols)
-        need = [(d, x)]
-        while need:
-            e, v = need.pop()
-            if e and (e, v) not in chosen:
-                chosen.add((e, v))
-                need += [(e - 1, v & ((1 << (8 * (e - 1))) - 1)), (e - 1, v >> 8)]
-    nodes = sorted(chosen)
-    at = {x: k for k, x in enumerate(nodes)}
-    length = np.array([d for d, _ in nodes])
-    suffix = np.array([at[(d - 1, v & ((1 << (8 * (d - 1))) - 1))] if d else 0 for d, v in nodes])
-    delta = np.zeros((len(nodes), size), np.int32)
-    delta[0] = [at.get((1, s), 0) for s in range(size)]
-    child: dict[int, list[tuple[int, int]]] = {}
-    for (d, v), k in at.items():
-        if d:
-            child.setdefault(at[(d - 1, v >> 8)], []).append((v & 255, k))
-    for k in range(len(nodes)):
-        if k:
-            delta[k] = delta[suffix[k]]
-        for s, to in child.get(k, ()):
-            delta[k, s] = to
-    counts = np.zeros((len(nodes), n_kinds, size), np.float32)
-    for d in range(depth + 1):
-        of = np.flatnonzero(length == d)
-        if not len(of):
-            continue
-        values = np.array([nodes[k][1] for k in of], np.uint64)
-        own = past & np.uint64((1 << (8 * d)) - 1)
-        i = np.searchsorted(values, own)
-        i[i == len(values)] = 0
-        ok = values[i] == own
-        np.add.at(counts, (of[i[ok]], kind[ok], symbol[ok]), n[ok])
-    return Tree(depth, size, delta, suffix, length), counts, np.array([v for _, v in nodes], np.uint64)
-
-
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of the values of each row, in double precision; empty rows give 0."""
     out = np.zeros((len(offsets) - 1, *values.shape[1:]))
