@@ -250,6 +250,23 @@ def test_language_keeps_every_context(spark):
         assert r["lang_pred"] == one[i]["lang_pred"] and np.allclose([r["score"], r["bits_per_byte"]], [one[i]["score"], one[i]["bits_per_byte"]], atol=1e-5)
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than 64, the rarest with the fewest rows; in one table and in blocks of languages."""
+    rng = random.Random(10)
+    names = [f"l{k:02d}" for k in range(80)]
+    stems = {x: ["".join(rng.choices("bcdfghklmnprstvz", k=3)) for _ in range(6)] for x in names}
+    pick = lambda x: " ".join(rng.choice(stems[x]) for _ in range(30))
+    rows = spark.createDataFrame([(x, pick(x)) for k, x in enumerate(names) for _ in range(1 if k % 4 == 0 else 3)], "lang string, text string")
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, pick(x)) for k, x in enumerate(names)], "doc_id long, text string")
+    for size in (language.BLOCK_ROWS, 3_000):
+        model = language.train(rows, block_rows=size)
+        assert model.languages == names and (len(model.blocks) > 1) == (size == 3_000)
+        got = by_id(language.identify(docs, model, F.lit(True)))
+        assert [got[k]["lang_pred"] for k in range(80)] == names
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(4)
     rows, y = [], []

@@ -41,8 +41,6 @@ FETCH_ROWS = 300_000
 SLICE = 2 << 20
 #: The bits of a symbol at most (a probability of 1e-30).
 LARGEST = np.float32(99.66)
-#: Languages learnt at most: those with most training rows (a table entry per language and context).
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: The score is the share of the best code among all, for a text of at most so many bytes at its mean cost.
 EVIDENCE_BYTES = 64
@@ -181,14 +179,13 @@ def blocks_of(sizes: dict[int, int], block_rows: int) -> list[Block]:
     return [*out, Block(tuple(held))] if held else out
 
 
-def train(rows: DataFrame, *, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, max_contexts: int | None = None, max_languages: int = MAX_LANGUAGES) -> Trees | None:
-    """Learn from ``rows`` (lang, text): all of them. ``max_contexts`` lowers what a block holds, not what is learnt."""
+def train(rows: DataFrame, *, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, max_contexts: int | None = None) -> Trees | None:
+    """Learn from ``rows`` (lang, text): all of them, and every lang met. ``max_contexts`` lowers what a block holds, not what is learnt."""
     bounded_batches(rows.sparkSession)
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    met = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not met:
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(r["lang"] for r in met)
     kinds = rows.sparkSession.createDataFrame(list(enumerate(languages)), "kind int, lang string")
     summed = sum_grams(rows.join(F.broadcast(kinds), "lang").select("kind", "text"), raw_symbols, depth)
     # a language with only empty texts has no grams; its code is that of no knowledge
