@@ -103,6 +103,14 @@ def test_proximity(spark):
     assert got.keys() == {1, 2} and got[1] and not got[2]
 
 
+def test_proximity_stays_in_its_document(spark):
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
+    # the document before ends with a term of the item; the rarest term stands nearer to the start than in the item
+    for rows, slop, want in (([(1, "x alpha"), (2, "alpha beta gamma delta")], 1, (2, 0, True)), ([(1, "x alpha gamma delta"), (2, "beta alpha gamma delta")], 2, (2, -1, False))):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {(r["doc_id"], r["start"], r["exact"]) for r in dec.matches(docs, bench, slop=slop).collect()} == {want}
+
+
 def text(rng, vocabulary, n):
     return " ".join(rng.choice(vocabulary) for _ in range(n))
 

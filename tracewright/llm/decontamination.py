@@ -80,6 +80,7 @@ class Shard:
         at[at == len(tests.terms)] = 0
         known = np.flatnonzero(tests.terms[at] == words.hash) if len(tests.terms) else np.zeros(0, np.int64)
         self.n, self.row, self.tests = len(words.hash), words.row, tests
+        self.row_start = np.concatenate([[0], np.cumsum(words.counts())])
         term = at[known]
         #: term * n + position, sorted: one list of positions after the other
         self.postings = np.sort(term.astype(np.int64) * self.n + known)
@@ -87,26 +88,25 @@ class Shard:
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
     def lookup(self, slop: int = 0):
-        """(window numbers, start positions) of the windows found, for slop > 0 with every term at most so far from its place."""
+        """(window numbers, start positions, rows) of the windows found, for slop > 0 with every term at most so far from its place;
+        the start then follows from the rarest term and may lie before the row's first word."""
         t = self.tests
         if not len(t.size) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         length = np.where(t.window >= 0, self.count[t.window], np.iinfo(np.int64).max)
         alive = np.flatnonzero(length.min(axis=1) > 0)
         rarity = np.argsort(length[alive], axis=1, kind="stable")
         todo = length[alive, rarity[:, 0]]
-        found_w, found_s = [], []
+        found = []
         upto, lo = np.cumsum(todo), 0
         while lo < len(alive):
             # as many windows as _STEP candidates allow, at least one
             hi = max(lo + 1, int(np.searchsorted(upto, _STEP + (upto[lo - 1] if lo else 0), "right")))
-            for w, s in self._expand(alive[lo:hi], rarity[lo:hi], todo[lo:hi], slop):
-                found_w.append(w)
-                found_s.append(s)
+            found += self._expand(alive[lo:hi], rarity[lo:hi], todo[lo:hi], slop)
             lo = hi
-        if not found_w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_w), np.concatenate(found_s)
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _expand(self, which, rarity, todo, slop):
         t = self.tests
@@ -127,12 +127,14 @@ class Shard:
                 return
             off = rarity[rank, j]
             term = t.window[which[rank], off].astype(np.int64)
-            want = start + off
-            low = np.searchsorted(self.postings, term * self.n + np.maximum(want - slop, 0))
+            want, row = start + off, self.row[place]
+            # no further than the row's own words
+            least = np.maximum(want - slop, self.row_start[row])
+            low = np.searchsorted(self.postings, term * self.n + least)
             got = self.postings[np.minimum(low, len(self.postings) - 1)] - term * self.n
-            ok = (term < 0) | ((low < len(self.postings)) & (got >= 0) & (got < self.n) & (got <= want + slop) & (self.row[np.clip(got, 0, self.n - 1)] == self.row[place]))
+            ok = (term < 0) | ((low < len(self.postings)) & (got >= least) & (got <= want + slop) & (got < self.row_start[row + 1]))
             rank, start, place = rank[ok], start[ok], place[ok]
-        yield which[rank], start
+        yield which[rank], start, self.row[place]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_windows: int) -> list[DataFrame]:
@@ -175,7 +177,7 @@ def _pass(docs: DataFrame, tests: TestWindows, text_col: str, found_col: str) ->
 
 
 def _found(words, tests: TestWindows, earlier: list | None) -> pa.Array:
-    w, s = Shard(words, tests).lookup()
+    w, s, _ = Shard(words, tests).lookup()
     inside = np.zeros(len(words.hash) + 1, np.int64)
     np.add.at(inside, s, 1)
     np.add.at(inside, s + tests.size[w], -1)
@@ -215,11 +217,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, slop: int = 0, id_col: str
                 for part in text_slices(batch, "text"):
                     words, tests = words_of(part.column("text")), sent.value
                     shard = Shard(words, tests)
-                    exact = set(zip(*(x.tolist() for x in shard.lookup()), strict=True)) if slop else None
+                    exact = set(zip(*(x.tolist() for x in shard.lookup()[:2]), strict=True)) if slop else None
                     first, ids = np.concatenate([[0], np.cumsum(words.counts())]), part.column("doc_id").to_pylist()
                     got = []
-                    for w, s in zip(*(x.tolist() for x in shard.lookup(slop)), strict=True):
-                        row = int(words.row[min(max(s, 0), shard.n - 1)])
+                    for w, s, row in zip(*(x.tolist() for x in shard.lookup(slop)), strict=True):
                         got += [(ids[row], tests.items[i], s - int(first[row]), s - int(first[row]) + int(tests.size[w]), exact is None or (w, s) in exact) for i in tests.item_of[tests.item_at[w] : tests.item_at[w + 1]]]
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=MATCH.names)
 
