@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1024
 
+#: Bytes of one Arrow batch, about: long texts make for fewer rows.
+BATCH_BYTES = 4 << 20
+
 #: Text bytes that one vectorised step handles at once (one text may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,11 +41,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing will read them again."""
+    for df in stored:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower Arrow's batch size to BATCH_ROWS, so that whole texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower Arrow's batches to BATCH_ROWS and about BATCH_BYTES, so that whole texts fit a worker."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, n: int, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with one row of ``values`` for each key, no task getting all rows of a frequent key.
+
+    Rows of a key with more than n / 10,000 rows are dealt over several tasks by the hash of column ``by``, and the
+    key's value goes to each of them. Only the frequent keys and their numbers of parts are broadcast: at most 10,000
+    if ``rows`` has ``n`` rows. Keys are counted in ``counted``, a stored table with the keys of ``rows``, or in ``rows`` itself.
+    """
+    heavy = max(100, n // 10_000)
+    parts = (rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = rows.join(F.broadcast(parts), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = values.join(F.broadcast(parts), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
+def row_hash(row: Column) -> Column:
+    """A hash of a whole row, given as a struct, to break ties between rows alike in all that an operator looks at."""
+    return F.xxhash64(F.to_json(row))
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -53,11 +88,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """Cut a batch into runs of rows with about ``limit`` bytes of text, at least one row each."""
+def text_slices(batch: pa.RecordBatch, *columns: str, limit: int = SLICE_BYTES):
+    """Cut a batch into runs of rows with about ``limit`` bytes of text in all ``columns``, at least one row each."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = sum(pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype("int64") for c in columns)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:

@@ -1,16 +1,19 @@
 """Exact deduplication by two passes over Bloom filters.
 
-Pass one sets bits for the hash of every text: each task keeps one filter of the
-hashes it has met and one of the bits met again; filters are merged piece by
-piece, and a bit set by two tasks counts as met again. Pass two tests every hash:
-only rows all of whose bits were met again may have a copy. Just those rows
-shuffle; the others are kept as they are. A filter holds no more than
-``max_bits`` bits. With more rows the share of rows that shuffle in vain grows,
-while results stay exact.
+Pass one deals the hashes of all texts, eight bytes each, into shards of about
+``SHARD`` hashes. The task of a shard holds one Bloom filter and gives out every
+hash whose bits are all set when it comes: each hash met again, and a few others.
+A hash met often is counted once for each ``COMPACT`` hashes of its task before
+it travels. Pass two sets the hashes given out in a second filter that goes to
+every task; only rows that pass it shuffle, and all others stay as they are. The
+second filter grows with the number of repeated hashes up to ``max_bits``; where
+these have fewer than ``LEAST_BITS`` bits each, their rows are found by a join on
+the hash in its place, with the same results.
 
 Defined results: null text equals empty text. White space means
 ``[\\x20\\x09-\\x0D]``. Of a group stays the row with the most code points, then
-the smallest doc_id (null last), then, of rows alike in both, one of them.
+the smallest doc_id (null last), then the smallest hash of all its columns;
+rows alike in everything are told apart by their row number alone.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, materialise
+from ._util import bounded_batches, discard, materialise, row_hash
 from ._words import mix
 
 WHITE = " \t\n\x0b\x0c\r"
-#: Bits of either filter at most: 2 x 16 MB.
-MAX_BITS = 1 << 27
-#: Bits for each row, where the bound allows them, and bits that a row sets.
-BITS_PER_ROW, PROBES = 16, 4
+#: Bits of the filter that is sent to all tasks, at most (128 MB), and the bits for each key below which it is not made.
+MAX_BITS, LEAST_BITS = 1 << 30, 3
+#: Bits for each key, where the bound allows them, and bits that a key sets.
+BITS_PER_KEY, PROBES = 16, 4
+#: Hashes of a shard, and hashes that a task brings together before they travel.
+SHARD, COMPACT = 1 << 20, 1 << 19
 #: Filters travel in pieces of so many bytes.
 PIECE = 1 << 16
 #: Groups of more than this share of the rows are looked up by broadcast; at most 1/HEAVY_SHARE exist.
@@ -49,51 +54,70 @@ def _bits(h: np.ndarray, m: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * b) & np.uint64(m - 1) for i in range(PROBES)])
 
 
-def _set_bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags, bitorder="little").tobytes()
+def repeated_hashes(hashes: DataFrame, column: str, n_rows: int, shard: int = SHARD) -> DataFrame:
+    """(h): every hash that occurs more than once, at least once, and a few that do not."""
+    shards = max(1, -(-n_rows // shard))
+    m = 1 << max(16, math.ceil(math.log2(min(n_rows, shard) * BITS_PER_KEY or 1)))
 
+    def compact(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size >= COMPACT:
+                yield distinct(held)
+                held, size = [], 0
+        if size:
+            yield distinct(held)
+
+    def distinct(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n > 1)], names=["h", "again"])
+
+    def pass_shard(batches):
+        seen = np.zeros(m, bool)
+        for batch in batches:
+            h, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.argsort(h, kind="stable")
+            h, again = h[order], again[order].astype(bool)
+            again[1:] |= h[1:] == h[:-1]
+            at = _bits(h, m)
+            again |= seen[at].all(axis=0)
+            seen[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array(h[again])], names=["h"])
+
+    return hashes.select(column).mapInArrow(compact, "h long, again boolean").repartition(shards, "h").mapInArrow(pass_shard, "h long")
 
-def possibly_repeated(hashes: DataFrame, column: str, n_rows: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
-    """The packed bits met more than once over all rows, and their number."""
-    m = 1 << min(int(math.log2(max_bits)), max(19, math.ceil(math.log2(max(1, n_rows) * BITS_PER_ROW))))
+
+def filter_of(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
+    """The packed Bloom filter of ``keys``, and its number of bits."""
+    m = 1 << min(int(math.log2(max_bits)), max(19, math.ceil(math.log2(max(1, n_keys) * BITS_PER_KEY))))
 
     def build(batches):
-        once, again = np.zeros(m, bool), np.zeros(m, bool)
+        flags = np.zeros(m, bool)
         for batch in batches:
-            # bits of one text are distinct probes of that text: repeats within a row do not count
-            probes = _bits(batch.column(0).to_numpy(zero_copy_only=False), m)
-            probes = np.sort(probes, axis=0)
-            fresh = np.concatenate([np.ones((1, probes.shape[1]), bool), probes[1:] != probes[:-1]])
-            at = np.sort(probes[fresh])
-            repeat = at[1:][at[1:] == at[:-1]]
-            again[at[once[at]]] = True
-            again[repeat] = True
-            once[at] = True
+            flags[_bits(batch.column(0).to_numpy(zero_copy_only=False), m)] = True
         step = PIECE * 8
         for k in range(0, m, step):
-            if once[k : k + step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([_set_bits(once[k : k + step])], pa.binary()), pa.array([_set_bits(again[k : k + step])], pa.binary())], names=["piece", "once", "again"])
+            if flags[k : k + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([np.packbits(flags[k : k + step], bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
 
     def merge(piece: pd.DataFrame) -> pd.DataFrame:
-        once = again = None
-        for a, b in zip(piece["once"], piece["again"], strict=True):
-            x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            again = y.copy() if again is None else again | y | (once & x)
-            once = x.copy() if once is None else once | x
-        return pd.DataFrame({"piece": [piece["piece"].iloc[0]], "again": [again.tobytes()]})
-
-    # few large tasks: a filter per task costs its size, and hashes are small
-    tasks = max(1, min(-(-n_rows // 100_000), 512))
-    pieces = hashes.select(column).coalesce(tasks).mapInArrow(build, "piece int, once binary, again binary").groupBy("piece").applyInPandas(merge, "piece int, again binary")
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in piece["bits"]])
+        return pd.DataFrame({"piece": [piece["piece"].iloc[0]], "bits": [bits.tobytes()]})
+
+    # few large tasks: a filter per task costs its size, and keys are small
+    tasks = max(1, min(-(-n_keys // 1_000_000), 64))
+    pieces = keys.select(column).coalesce(tasks).mapInArrow(build, "piece int, bits binary").groupBy("piece").applyInPandas(merge, "piece int, bits binary")
     bits = np.zeros(m // 8, np.uint8)
     for r in pieces.toLocalIterator():
-        x = np.frombuffer(bytes(r["again"]), np.uint8)
+        x = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
     return bits, m
 
 
-def maybe_repeated(spark, bits: np.ndarray, m: int):
-    """A column function: may the hash occur more than once?"""
+def in_filter(spark, bits: np.ndarray, m: int):
+    """A column function: are all bits of the hash set?"""
     sent = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf(T.BooleanType())
@@ -104,30 +128,32 @@ def maybe_repeated(spark, bits: np.ndarray, m: int):
     return test
 
 
-def may_be_among(keys: DataFrame, column: str, n_rows: int, max_bits: int = MAX_BITS):
-    """A column function: may a hash be one of ``keys``? Each key counts twice, so that all its bits are met again.
+def marked_among(rows: DataFrame, hash_of: Column, keys: DataFrame, column: str, n_keys: int, to: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``rows`` with a column ``to``: may the row's hash be one of ``keys``? True for all that are, and for few others.
 
-    Of other hashes few pass while the filter has the bits it needs; what follows must be exact in any case.
+    A filter tells it where the rows are. With more keys than the filter can hold the rows are joined with them.
     """
-    twice = keys.select(F.explode(F.array(column, column)).alias(column))
-    return maybe_repeated(keys.sparkSession, *possibly_repeated(twice, column, n_rows, max_bits))
+    if n_keys * LEAST_BITS <= max_bits:
+        return rows.withColumn(to, in_filter(rows.sparkSession, *filter_of(keys, column, n_keys, max_bits))(hash_of))
+    known = keys.select(F.col(column).alias("_hash")).distinct().withColumn("_known", F.lit(True))
+    return rows.withColumn("_hash", hash_of).join(known, "_hash", "left").withColumn(to, F.col("_known").isNotNull()).drop("_hash", "_known")
 
 
-def classify_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def classify_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shard: int = SHARD) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("size"), sha.alias("text_sha256"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("size"), sha.alias("text_sha256"), F.xxhash64(text).alias("tie"))
     rows = rows.select("*", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long").alias("h"), F.monotonically_increasing_id().alias("row_id"))
     rows = materialise(rows, "exact-dedup")  # row numbers and hashes are fixed from here on
     n = rows.count()
-    bits, m = possibly_repeated(rows, "h", n, max_bits)
-    rows = rows.withColumn("maybe", maybe_repeated(spark, bits, m)("h"))
+    again = materialise(repeated_hashes(rows, "h", n, shard), "exact-dedup-again")
+    rows = marked_among(rows, F.col("h"), again, "h", again.count(), "maybe", max_bits)
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = materialise(rows.where("maybe").drop("maybe", "h"), "exact-dedup-maybe")
-    best = F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
+    best = F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row_id"))
     groups = materialise(some.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-dedup-groups")
     groups = groups.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"))
     out = lookup(some, groups, "text_sha256", "group_size", max(100, int(n * HEAVY_SHARE)))
@@ -142,7 +168,7 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, heavy: int)
     return marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(large), key).unionByName(marked.where(F.col("_heavy").isNull()).drop("_heavy").join(groups.where(F.col(size) <= heavy), key))
 
 
-def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shard: int = SHARD) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
     Rows that cannot have a copy pass straight through. The others are reduced to one row of each
@@ -154,10 +180,12 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     h = F.xxhash64(normalised(F.col(text_col)))
     hashes = materialise(docs.select(h.alias("h")), "exact-dedup-hashes")
     n = hashes.count()
-    bits, m = possibly_repeated(hashes, "h", n, max_bits)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), h.alias("h")).withColumn("maybe", maybe_repeated(spark, bits, m)("h"))
+    again = materialise(repeated_hashes(hashes, "h", n, shard), "exact-dedup-again")
+    discard(hashes)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), h.alias("h"))
+    row = marked_among(row, F.col("h"), again, "h", again.count(), "maybe", max_bits)
     alone = row.where(~F.col("maybe")).select("row")
     text, key = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), F.col(f"row.`{id_col}`")
-    some = row.where("maybe").select(F.sha2(normalised(text).cast("binary"), 256).alias("sha"), (-F.char_length(text)).alias("size"), key.isNull().alias("no_id"), key.alias("id"), "row")
-    kept = some.groupBy("sha").agg(F.min_by("row", F.struct("size", "no_id", "id")).alias("row")).select("row")
+    some = row.where("maybe").select(F.sha2(normalised(text).cast("binary"), 256).alias("sha"), (-F.char_length(text)).alias("size"), key.isNull().alias("no_id"), key.alias("id"), row_hash(F.col("row")).alias("tie"), "row")
+    kept = some.groupBy("sha").agg(F.min_by("row", F.struct("size", "no_id", "id", "tie")).alias("row")).select("row")
     return alone.unionByName(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in names))

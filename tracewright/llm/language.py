@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Trees | None, held_out: Column, *, id_col:
         def judge(batches):
             trees = sent.value
             for batch in batches:
-                for part in text_slices(batch, "text", SLICE):
+                for part in text_slices(batch, "text", limit=SLICE):
                     yield judged(part, *trees.code_lengths(part.column("text"), trees.blocks[0]))
 
         return rows.mapInArrow(judge, SCHEMA)
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Trees | None, held_out: Column, *, id_col:
         def code(batches, sent=sent):
             trees, block = sent.value
             for batch in batches:
-                for part in text_slices(batch, "text", SLICE):
+                for part in text_slices(batch, "text", limit=SLICE):
                     bits, _ = trees.code_lengths(part.column("text"), block)
                     yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.full(len(bits), block.kinds[0], np.int32)), pa.array(list(bits), pa.list_(pa.float64()))], names=["row", "kind", "bits"])
 

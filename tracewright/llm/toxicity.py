@@ -272,7 +272,7 @@ def features(rows: DataFrame, carry: str, model: RatioModel) -> DataFrame:
 
         def measure(batches):
             for batch in batches:
-                for part in text_slices(batch, "text", SLICE):
+                for part in text_slices(batch, "text", limit=SLICE):
                     x = sent.value.features(part.column("text"))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(list(x), pa.list_(pa.float64()))], names=[*names, "x"])
 
@@ -281,7 +281,7 @@ def features(rows: DataFrame, carry: str, model: RatioModel) -> DataFrame:
     # tables too large for a task: each block rates the different words, and the words' sums go to the texts
     def split(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
+            for part in text_slices(batch, "text", limit=SLICE):
                 data, start, end, row = spans_of(part.column("text"))
                 raw = data.tobytes()
                 found = Counter(zip(row.tolist(), (raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)), strict=True))
@@ -299,7 +299,7 @@ def features(rows: DataFrame, carry: str, model: RatioModel) -> DataFrame:
         def rate(batches, sent=sent):
             m, levels, block = sent.value
             for batch in batches:
-                for part in text_slices(batch, "text", SLICE):
+                for part in text_slices(batch, "text", limit=SLICE):
                     yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(m.word_values(part.column("text"), levels, block)[0])], names=["word", "v"])
 
         rated.append(materialise(different.mapInArrow(rate, "word string, v double"), "toxicity-rated"))
