@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, language, near_dedup, quality, sentencepiece_lattice, token_counts, toxicity, warc_fixity
-from .decontamination import find_contamination
+from .decontamination import build_index, search
 from .exact_dedup import classify_copies
 
 
@@ -31,15 +31,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    found = search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         "doc_id",
-        F.col("found.n_words").alias("n_words"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
