@@ -49,16 +49,35 @@ def test_exact_dedup(spark, odd):
         assert len(own) == len(members) and all(r["group_size"] == len(members) for r in own) and sum(r["kept"] for r in own) == 1
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns and kept.count() == len(brute_exact(ODD))
-    # a filter far too small changes what shuffles, not what results
-    assert sorted(map(str, exact_dedup.classify_copies(odd, max_bits=1 << 19).collect())) == sorted(map(str, got))
+    # many shards, and no filter for the rows at all, change what shuffles, not what results
+    for more in ({"shard": 2}, {"max_bits": 1}):
+        assert sorted(map(str, exact_dedup.classify_copies(odd, **more).collect())) == sorted(map(str, got))
+        assert sorted(map(str, exact_dedup.drop_copies(odd, **more).collect())) == sorted(map(str, kept.collect()))
+    none = odd.where("false")
+    assert exact_dedup.classify_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+
+
+def test_exact_dedup_ties(spark):
+    """Of rows alike in text and id the same one stays, however the rows are dealt out."""
+    rows = [(1, "a b", k) for k in range(40)] + [(2, "a  b", 0), (3, "ab", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    got = {str(exact_dedup.drop_copies(df.repartition(n, "extra")).collect()) for n in (1, 3, 7)}
+    assert len(got) == 1 and "doc_id=2" in got.pop()
+    one = df.where("doc_id = 1")
+    assert len({str(exact_dedup.drop_copies(one.repartition(n, "extra")).collect()) for n in (1, 3, 7)}) == 1
+    assert len({str(near_dedup.keep_one(one.repartition(n, "extra")).collect()) for n in (1, 3)}) == 1
 
 
 def test_filters_miss_nothing(spark):
-    values = [*range(500), *range(0, 500, 7)]
+    values = [*range(500), *range(0, 500, 7), *[3] * 2000]
     df = spark.createDataFrame([(v,) for v in values], "h long").repartition(5)
-    bits, m = exact_dedup.possibly_repeated(df, "h", len(values))
-    found = {r["h"] for r in df.where(exact_dedup.maybe_repeated(spark, bits, m)("h")).collect()}
-    assert set(range(0, 500, 7)) <= found and len(found) < 100
+    for shard in (1 << 20, 50):
+        again = exact_dedup.repeated_hashes(df, "h", len(values), shard)
+        found = {r["h"] for r in again.collect()}
+        assert {*range(0, 500, 7), 3} <= found and len(found) < 100
+        for most in (1 << 20, 1):
+            among = exact_dedup.marked_among(df, df["h"], again, "h", len(found), "some", most).where("some").select("h").distinct().collect()
+            assert found <= {r["h"] for r in among} and len(among) < 110
 
 
 def words(t):
@@ -86,20 +105,59 @@ def test_decontamination(spark, odd, block):
     more = [(100 + k, " ".join(rng.choice("abcdefghijk") + ("," if rng.random() < 0.1 else "") for _ in range(60)) + " a b c d e f g h i j " * (k % 2)) for k in range(20)]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = dec.find_contamination(docs, bench, block_windows=block).collect()
-    assert len(got) == len(ODD) + 20
+    # columns with names that the operator uses inside
+    docs = docs.selectExpr("doc_id", "text", "1 as found", "'k' as keys", "2 as segment", "text as spans", "0 as row")
+    index = dec.build_index(docs)
+    got = dec.search(index, bench, block_windows=block).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    want = {dec._key(r["text"] or ""): brute_hits(r["text"], items) for r in rows}
+    assert Counter((r["doc_id"], bytes(r["text_key"])) for r in got) == Counter((r["doc_id"], dec._key(r["text"] or "")) for r in rows)
     for r in got:
-        f = r["found"]
-        assert (f["n_words"], sum(s["end"] - s["start"] for s in f["spans"]), ",".join(f["items"])) == brute_hits(r["text"], items)
-    assert dec.find_contamination(docs, bench.where("false")).where("size(found.items) > 0").count() == 0
-    assert dec.find_contamination(docs.where("false"), bench).count() == 0
+        assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), ",".join(r["items"])) == want[bytes(r["text_key"])]
+    clean = dec.drop_contaminated(docs, bench, block_windows=block)
+    assert clean.columns == docs.columns
+    assert Counter(clean.collect()) == Counter(r for r in rows if not want[dec._key(r["text"] or "")][1])
+    assert dec.search(index, bench.where("false")).where("size(items) > 0").count() == 0
+    none = docs.where("false")
+    assert dec.search(dec.build_index(none), bench).count() == 0 and dec.drop_contaminated(none, bench).count() == 0
+    named = dec.build_index(docs.selectExpr("concat('d', doc_id) as doc_id", "text"))
+    assert {r["doc_id"] for r in dec.search(named, bench).collect()} == {None if r["doc_id"] is None else f"d{r['doc_id']}" for r in rows}
+
+
+def test_stored_postings(spark, odd):
+    """The index holds every word of every text, and can be read without this module."""
+    for r in dec.build_index(odd.coalesce(1)).collect():
+        terms, counts, places = (np.frombuffer(r[c], t) for c, t in (("terms", "<u8"), ("counts", "<i4"), ("postings", "<i4")))
+        texts = [{i: t for i, t in ODD}.get(i) for i in r["ids"]]
+        flat = [w for t in texts for w in words(t)]
+        assert [len(words(t)) for t in texts] == r["n_words"] and counts.sum() == len(places) == len(flat)
+        lists = {}
+        for k, w in enumerate(flat):
+            lists.setdefault(w, []).append(k)
+        at = np.cumsum(counts) - counts
+        assert sorted(map(tuple, lists.values())) == sorted(tuple(places[a : a + n].tolist()) for a, n in zip(at, counts, strict=True))
+        assert (np.diff(terms.astype(object)) > 0).all()
+
+
+def test_one_huge_item_goes_out_in_blocks(spark):
+    rng = random.Random(15)
+    item = text(rng, VOCABULARY, 3000)
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "x " * 500)], "item_id long, text string")
+    blocks = [t for _, t in dec._blocks(bench, "item_id", "text", 10, 500)]
+    assert len(blocks) > 10 and max(len(t.item_of) for t in blocks) < 800
+    docs = spark.createDataFrame([(1, item), (2, " ".join(item.split()[500:520])), (3, "x " * 12)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dec.search(dec.build_index(docs), bench, block_windows=500).collect()}
+    assert got[1]["spans"] == [(0, 3000)] and got[2]["spans"] == [(0, 20)] and got[3]["spans"] == [(0, 12)]
+    assert got[1]["items"] == got[2]["items"] == ["1", "2"] and got[3]["items"] == ["3"]
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "delta gamma"), (4, "alpha beta y z q w gamma delta")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
-    assert {(r["doc_id"], r["exact"]) for r in dec.matches(docs, bench).collect()} == {(1, True)}
-    got = {r["doc_id"]: r["exact"] for r in dec.matches(docs, bench, slop=1).collect()}
+    index = dec.build_index(docs)
+    assert {(r["doc_id"], r["exact"]) for r in dec.matches(index, bench).collect()} == {(1, True)}
+    got = {r["doc_id"]: r["exact"] for r in dec.matches(index, bench, slop=1).collect()}
     assert got.keys() == {1, 2} and got[1] and not got[2]
 
 
@@ -108,7 +166,7 @@ def test_proximity_stays_in_its_document(spark):
     # the document before ends with a term of the item; the rarest term stands nearer to the start than in the item
     for rows, slop, want in (([(1, "x alpha"), (2, "alpha beta gamma delta")], 1, (2, 0, True)), ([(1, "x alpha gamma delta"), (2, "beta alpha gamma delta")], 2, (2, -1, False))):
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-        assert {(r["doc_id"], r["start"], r["exact"]) for r in dec.matches(docs, bench, slop=slop).collect()} == {want}
+        assert {(r["doc_id"], r["start"], r["exact"]) for r in dec.matches(dec.build_index(docs), bench, slop=slop).collect()} == {want}
 
 
 def text(rng, vocabulary, n):
@@ -118,10 +176,35 @@ def text(rng, vocabulary, n):
 VOCABULARY = ["".join(random.Random(k).choices("aeioubcdfglmnprst", k=random.Random(k).randint(2, 8))) for k in range(4000)]
 
 
+def plain_kmers(text):
+    """Five-word tuples, each with the number of equal ones before it."""
+    w, seen, out = words(text), Counter(), []
+    for k in [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []:
+        out.append((k, seen[k]))
+        seen[k] += 1
+    return out
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def similar(a, b):
+    """The longest common subsequence by the textbook, where sizes and sets allow 0.8 at all."""
+    if not a or not b or len(set(a) & set(b)) < 0.8 / 1.8 * (len(a) + len(b)) - 1e-9:
+        return False
+    m = common_subsequence(a, b)
+    return m / (len(a) + len(b) - m) >= 0.8 - 1e-12
+
+
 def brute_classes(rows):
-    w = near_dedup.words_of(pa.array([t or "" for _, t in rows], pa.large_string()))
-    kmers, off = near_dedup.labelled_kmers(w)
-    own = [kmers[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    own = [plain_kmers(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -131,7 +214,7 @@ def brute_classes(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if len(own[a]) and len(own[b]) and near_dedup.aligned(own[a], own[b]) > 0:
+            if find(a) != find(b) and (own[a] == own[b] != [] or similar(own[a], own[b])):
                 root[find(a)] = find(b)
     out = {}
     for k in range(len(rows)):
@@ -139,6 +222,39 @@ def brute_classes(rows):
     return list(out.values())
 
 
+def test_alignment():
+    """Against the textbook, at and around the threshold, with moved and repeated parts."""
+    rng = random.Random(12)
+    kmers = lambda t: near_dedup.labelled_kmers(near_dedup.words_of(pa.array([t], pa.large_string())))[0]
+    hits = 0
+    for _ in range(400):
+        base = text(rng, VOCABULARY[: rng.choice([3, 30, 3000])], rng.randint(1, 60)).split()
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randrange(len(copy) + 1), rng.randint(0, 3)
+            copy[at : at + n] = rng.choice([[], ["new"], copy[:2], base[-3:]])
+        a, b = " ".join(base), " ".join(copy)
+        want = similar(plain_kmers(a), plain_kmers(b))
+        x, y = kmers(a), kmers(b)
+        assert (near_dedup.aligned(x, y) > 0) == want, (a, b)
+        hits += want
+        if want:
+            bits = np.unpackbits((near_dedup.signature(x, near_dedup.MARK) ^ near_dedup.signature(y, near_dedup.MARK)).view(np.uint8)).sum()
+            assert bits <= (len(x) + len(y)) / 9 + 1e-6
+    assert 50 < hits < 350
+
+
+def test_sketches_find_links():
+    """Pairs at similarity 0.8 itself, short and long, share a sketch."""
+    rng = random.Random(13)
+    for n in (4, 8, 12, 16, 20, 40, 300):
+        missed = 0
+        for _ in range(400 if n < 100 else 60):
+            kmers = np.array([rng.getrandbits(64) for _ in range(n + n // 4)], np.uint64)
+            missed += not set(near_dedup.sketches_of(kmers).tolist()) & set(near_dedup.sketches_of(kmers[: n]).tolist())
+        assert missed == 0, n
+
+
 def test_near_dedup(spark, odd):
     rng = random.Random(5)
     rows = list(ODD)
@@ -149,7 +265,8 @@ def test_near_dedup(spark, odd):
             for _ in range(rng.randint(0, max(1, len(base) // 40))):
                 copy[rng.randrange(len(copy))] = rng.choice(VOCABULARY)
             rows.append((1000 + 100 * g + c, " ".join(copy)))
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    extra = ", row_id int, text_key string, node long, root string, key int, some int, a int, h int, _id int"
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x", 2, "y", 3, 4, 5, 6, 7) for i, t in rows], SCHEMA + extra)
     got = near_dedup.classify(df).collect()
     assert len(got) == len(rows)
     want = Counter()
@@ -160,7 +277,9 @@ def test_near_dedup(spark, odd):
     assert sum(r["kept"] for r in got) == len(brute_classes(rows))
     kept = near_dedup.keep_one(df)
     assert kept.columns == df.columns and kept.count() == len(brute_classes(rows))
-    assert near_dedup.classify(df.where("false")).count() == 0
+    assert near_dedup.classify(df.where("false")).count() == 0 and near_dedup.keep_one(df.where("false")).count() == 0
+    # ids of another type
+    assert {r["class_id"] for r in near_dedup.classify(df.selectExpr("cast(doc_id as string) doc_id", "text")).collect()} == {None if i is None else str(i) for i in {min((str(rows[k][0]) for k in m if rows[k][0] is not None), default=None) for m in brute_classes(rows)}}
 
 
 def test_near_dedup_chain(spark):
@@ -176,6 +295,29 @@ def test_near_dedup_chain(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_near_dedup_many_parts(spark):
+    """Hot texts, buckets and components, dealt over several tasks: a large star, a common passage, copies."""
+    rng = random.Random(11)
+    base, passage = text(rng, VOCABULARY, 60).split(), text(rng, VOCABULARY, 50)
+    rows = [(k, " ".join(base[:k % 60] + [rng.choice(VOCABULARY)] + base[k % 60 :])) for k in range(250)]
+    rows += [(1000 + k, f"{passage} {text(rng, VOCABULARY, rng.randint(10, 40))}") for k in range(60)]
+    rows += [(2000 + k, " ".join(base)) for k in range(150)] + [(3000, "short text of seven words is here"), (3001, "short text of seven words is here too")]
+    got = near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    want = {rows[k][0]: min(rows[j][0] for j in m) for m in brute_classes(rows) for k in m}
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_components(spark):
+    rng = random.Random(14)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 450)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)] + [(900, 900)]
+    got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(70):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {x: r for x, r in root.items() if x != r} == {x: r for x, r in got.items() if x != r}
+
+
 def auc(score, y):
     order = np.argsort(score)
     rank = np.empty(len(score))
@@ -378,7 +520,14 @@ def test_sentencepiece(spark, odd):
         assert scores == sorted(scores, reverse=True) and 1 <= len(scores) <= sp.N_BEST
     back = sp.decode(sp.encode(odd).selectExpr("doc_id", "segmentations[0].ids ids"), "ids").collect()
     assert [r["text"] for r in back] == [t or "" for _, t in ODD]
-    assert all(r["round_trip"] for r in sp.summarise(odd).collect())
+    brief = sp.summarise(odd).collect()
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in brief) and [m.decode(r["ids"]) for r in brief] == [t or "" for _, t in ODD]
+    import zlib
+
+    for r, whole in zip(brief, rows, strict=True):
+        assert r["ids"] == whole["segmentations"][0]["ids"] and r["scores"] == [s["score"] for s in whole["segmentations"]]
+        assert r["ids_crc32"] == [zlib.crc32(np.array(s["ids"], "<i4").tobytes()) for s in whole["segmentations"]] and len(set(r["ids_crc32"])) == len(r["scores"])
+    assert sp.summarise(odd.where("false")).count() == 0
 
 
 def test_token_tree_follows_edits():
