@@ -2,12 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
 documents; the last returns each document's segmentation.
+
+Defined results: null and empty texts are documents like others (the operators state
+what they make of them); an empty table stays empty. Columns beyond those that the
+operators read are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, exact_dedup, near_dedup, quality, sentencepiece_lattice
 from tracewright.llm._util import materialise
@@ -19,20 +22,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the longest stays, then the smallest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the smallest doc_id stays."""
     return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words, or the whole, of a benchmark item."""
-    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found_col="_found")
-    return found.where(F.size("_found.items") == 0).drop("_found")
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The n best segmentations of every document that is left, with what decoding the best gives back."""
     return sentencepiece_lattice.summarise(docs)
 
 
