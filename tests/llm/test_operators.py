@@ -506,13 +506,21 @@ def test_sentencepiece(spark, odd):
     for t in ["hello a", "a b", "interest", "x\ny z", " two", "日本 q", "aaaaaa"]:
         whole = (" " + t).replace(" ", sp.SPACE)
         assert [round(s, 6) for s, _ in m.encode(t, 5)] == [round(s, 6) for s, _ in brute_paths(m, whole)], t
+    rng = random.Random(16)
+    seen = Counter()
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "bc ", " ", "é", "日", "the", "\n"]) for _ in range(rng.randint(1, 12)))
+        (_, a), *rest = m.encode(t, 4)
+        for b in [x for _, x in rest] + [m.encode(t + rng.choice(["", "a", "日"]))[0][1]]:
+            seen[same := m.decode(a) == m.decode(b)] += 1
+            assert m.decodes_alike(a, b) == same
+    assert min(seen[True], seen[False]) > 50
     fresh = sp.Lattice.load(sp.MODEL)
     chunks = [c for c in {c for w in VOCABULARY[:300] for c in m.chunks(w + " Éà日")} if len(c) < 64]
     fresh.learn(sorted(chunks))
     for c in chunks:
-        if c in fresh.cache:
-            a, b = fresh.cache[c], m.chunk(c)
-            assert a[1] == b[1] and a[0] == pytest.approx(b[0]) and (a[2] == b[2] or a[2] == pytest.approx(b[2]))
+        a, b = fresh.held(c), m.chunk(c)
+        assert a[1] == b[1] and a[0] == pytest.approx(b[0]) and (a[2] == b[2] or a[2] == pytest.approx(b[2]))
     rows = sp.encode(odd).collect()
     for (_, t), r in zip(ODD, rows, strict=True):
         assert all(m.decode(s["ids"]) == (t or "") for s in r["segmentations"])

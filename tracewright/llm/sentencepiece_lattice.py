@@ -22,23 +22,27 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, id_and_text
+from ._util import bounded_batches, id_and_text, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 #: Chunks whose results a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 #: New chunks that are searched together; longer ones than _WIDE are searched alone.
-_MANY, _WIDE = 50_000, 64
+_MANY, _WIDE = 10_000, 64
+#: Bytes of text that are searched together.
+_TOGETHER = 1 << 19
 _NONE, _INF = object(), float("inf")
 _MARK = "\x00"  # stands for a literal U+2581 while a text is cut; a NUL has no piece either
 
@@ -57,11 +61,29 @@ class Lattice:
         #: Less than any piece: a character without a piece is no cheaper than one that has a piece.
         self.floor = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10.0
         self.known = {p for p in pieces if len(p) == 1}
-        self.cache: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.forget()
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
         self.longest = max(map(len, pieces), default=1)
         self._trie = None
 
+    def forget(self) -> None:
+        """Empty the cache: the number of every chunk, and by that number its best score, its loss to the second best, and where its ids are in the pool."""
+        self.index: dict[str, int] = {}
+        self.score, self.loss, self.at, self.count = (np.zeros(0, t) for t in (np.float64, np.float64, np.int64, np.int64))
+        self.pool = np.zeros(0, np.int32)
+
+    def put(self, chunks: list[str], score, loss, count, ids) -> None:
+        at = len(self.pool) + np.cumsum(count) - count
+        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        for name, more in (("score", score), ("loss", loss), ("at", at), ("count", count), ("pool", ids)):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, np.asarray(more, old.dtype)]))
+
+    def held(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
+        """What the cache has of a chunk, as ``chunk`` gives it."""
+        k = self.index[chunk]
+        return (float(self.score[k]), tuple(self.pool[self.at[k] : self.at[k] + self.count[k]].tolist()), float(self.loss[k]))
+
     @classmethod
     def load(cls, path: str) -> Lattice:
         import sentencepiece
@@ -107,8 +129,6 @@ class Lattice:
 
     def chunk(self, text: str) -> tuple[float, tuple[int, ...], float]:
         """(best score, ids of the best, loss to the second best) of a chunk; the loss is inf where there is no second."""
-        if (got := self.cache.get(text)) is not None:
-            return got
         n = len(text)
         arcs = self.arcs(text)
         best, back = self.forward(arcs, n)
@@ -126,11 +146,7 @@ class Lattice:
                 rest[start] = v
             if (w := best[start] + v) > second and arc not in taken:
                 second = w
-        got = (best[n], tuple(i for x in reversed(path) for i in x), best[n] - second)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[text] = got
-        return got
+        return (best[n], tuple(i for x in reversed(path) for i in x), best[n] - second)
 
     def _tables(self):
         """The beginnings of pieces as a trie in arrays: symbols of characters, keys (node, symbol) in order, the nodes they lead to, and each node's score and id."""
@@ -155,7 +171,7 @@ class Lattice:
         return self._trie
 
     def learn(self, chunks: list[str]) -> None:
-        """Put the results of many chunks into the cache: all their lattices are searched together, place by place."""
+        """Put the results of many different chunks into the cache: all their lattices are searched together, place by place; those with characters that have no piece one by one."""
         of, wide, keys, to, scores, ids, known = self._tables()
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         text = of[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -212,28 +228,24 @@ class Lattice:
         np.maximum.at(second, chunk[at[other]], (best[start] + score + rest[end])[other])
         which, arc = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 2
         order = np.lexsort((start[arc], which))
-        pieces = ids[node[arc[order]]].tolist()
-        until = np.cumsum(np.bincount(which, minlength=len(chunks))).tolist()
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
-        put, done = self.cache, 0
-        for c, ok, b, s, u in zip(chunks, plain.tolist(), best[high].tolist(), second.tolist(), until, strict=True):
-            if ok:
-                put[c] = (b, tuple(pieces[done:u]), b - s)
-            done = u
+        score, count = best[high][plain], np.bincount(which, minlength=len(chunks))[plain]
+        self.put([c for c, ok in zip(chunks, plain.tolist(), strict=True) if ok], score, score - second[plain], count, ids[node[arc[order]]])
+        self.learn_alone([c for c, ok in zip(chunks, plain.tolist(), strict=True) if not ok])
+
+    def learn_alone(self, chunks: list[str]) -> None:
+        got = [self.chunk(c) for c in chunks]
+        self.put(chunks, [x[0] for x in got], [x[2] for x in got], [len(x[1]) for x in got], list(chain.from_iterable(x[1] for x in got)))
 
     def prepare(self, texts) -> list[list[str]]:
         """The texts' chunks, after all of them that are not in the cache have been searched, many at once."""
-        new: set[str] = set()
-        cut = []
-        for t in texts:
-            cut.append(chunks := self.chunks(t))
-            new.update(c for c in chunks if c not in self.cache and len(c) <= _WIDE)
-            if len(new) >= _MANY:
-                self.learn(sorted(new))
-                new.clear()
-        if new:
-            self.learn(sorted(new))
+        if len(self.index) >= CACHE:
+            self.forget()
+        cut = [self.chunks(t) for t in texts]
+        new = set(chain.from_iterable(cut)) - self.index.keys() - {_MARK}
+        short = sorted(c for c in new if len(c) <= _WIDE)
+        for k in range(0, len(short), _MANY):
+            self.learn(short[k : k + _MANY])
+        self.learn_alone(sorted(c for c in new if len(c) > _WIDE))
         return cut
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -266,39 +278,37 @@ class Lattice:
         return _CHUNK.findall((" " + text).replace(SPACE, _MARK).replace(" ", SPACE)) if text else []
 
 
-    def encode(self, text: str, n: int = N_BEST, cut: list[str] | None = None) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a whole text: (score, ids), best first. ``cut``: its chunks, if they are known."""
-        cut = self.chunks(text) if cut is None else cut
+    def encode(self, text: str, n: int = N_BEST, cut: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a whole text: (score, ids), best first. ``cut``: its chunks, if it was prepared."""
+        cut = self.prepare([text])[0] if cut is None else cut
         if not cut:
-            return [(0.0, [])]
-        get, search = self.cache.get, self.chunk
+            return [(0.0, np.zeros(0, np.int32))]
         if _MARK in cut:
             literal = iter(re.findall(f"[{_MARK}{SPACE}]", text))
-            whole = [self._literal(next(literal)) if c == _MARK else search(c) for c in cut]
+            score, loss, paths = zip(*((self.floor, _INF, np.array(self.fallback(next(literal)), np.int32)) if c == _MARK else ((x := self.held(c))[0], x[2], np.array(x[1], np.int32)) for c in cut), strict=True)
+            score, loss, count, best = np.array(score), np.array(loss), np.array([len(x) for x in paths]), np.concatenate(paths)
         else:
-            whole = [get(c) or search(c) for c in cut]
-        scores, paths, losses = zip(*whole, strict=True)
-        score = float(sum(scores))
-        best = list(chain.from_iterable(paths))
+            which = np.fromiter(map(self.index.__getitem__, cut), np.int64, len(cut))
+            score, loss, count = self.score[which], self.loss[which], self.count[which]
+            best = self.pool[np.repeat(self.at[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        total = float(score.sum())
         # lists of the cheapest places' segmentations, merged into the n best combinations
-        loss = np.fromiter(losses, np.float64, len(losses))
         k = min(n - 1, len(loss))
-        places = sorted(np.argpartition(loss, k - 1)[:k].tolist(), key=lambda i: (losses[i], i)) if k > 0 else []
+        places = sorted(np.argpartition(loss, k - 1)[:k].tolist(), key=lambda i: (loss[i], i)) if k > 0 else []
         combos: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         for i in places:
-            if losses[i] < _INF:
+            if loss[i] < _INF:
                 options = self.options(cut[i], n)
                 combos = heapq.nlargest(n, ((v + s, {**d, i: ids} if j else d) for v, d in combos for j, (s, ids) in enumerate(options)), key=lambda x: x[0])
-        out = [(score, best)]
+        out = [(total, best)]
+        ends = np.cumsum(count)
         for lost, swap in combos[1:n]:
             # only the places swapped differ from the best
             ids, done = [], 0
             for i in sorted(swap):
-                ids.extend(chain.from_iterable(paths[done:i]))
-                ids.extend(swap[i])
-                done = i + 1
-            ids.extend(chain.from_iterable(paths[done:]))
-            out.append((score + lost, ids))
+                ids += [best[done : ends[i] - count[i]], swap[i]]
+                done = ends[i]
+            out.append((total + lost, np.concatenate([*ids, best[done:]]).astype(np.int32)))
         return out
 
     def options(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -312,11 +322,9 @@ class Lattice:
             self.lists[chunk, n] = got
         return got
 
-    def _literal(self, c: str) -> tuple[float, tuple[int, ...], float]:
-        return (self.floor, self.fallback(c), float("inf"))
-
     def decode(self, ids) -> str:
         """The text of a segmentation."""
+        ids = np.asarray(ids, np.int64).tolist()
         parts = list(map(self.plain.get, ids))
         if None in parts:  # byte pieces of longer characters
             out, held = [], bytearray()
@@ -333,6 +341,17 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decodes_alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Do two segmentations decode to the same text? Only what lies between their equal ends is decoded, if it has no byte pieces."""
+        m = min(len(a), len(b))
+        differ = np.flatnonzero(a[:m] != b[:m])
+        head = int(differ[0]) if len(differ) else m
+        differ = np.flatnonzero(a[len(a) - m :][::-1] != b[len(b) - m :][::-1])
+        tail = min(int(differ[0]) if len(differ) else m, m - head)
+        parts = [list(map(self.plain.get, x[head : len(x) - tail].tolist())) for x in (a, b)]
+        return self.decode(a) == self.decode(b) if None in parts[0] or None in parts[1] else "".join(parts[0]) == "".join(parts[1])
+
+
 #: A newline or a mark alone, or a run of spaces with what follows up to the next of these.
 _CHUNK = re.compile(f"[\n{_MARK}]|{SPACE}+[^{SPACE}\n{_MARK}]*|[^{SPACE}\n{_MARK}]+")
 
@@ -343,16 +362,39 @@ def lattice(path: str) -> Lattice:
     return Lattice.load(path)
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``segmentations``, an array of (score, ids), best first, of every row."""
+def _numbers(lists: list) -> pa.Array:
+    """Lists of ids, given as arrays, as one Arrow column."""
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *lists]))
+
+
+def _searched(docs: DataFrame, model: str, n_best: int, id_col: str, text_col: str, columns, names: str) -> DataFrame:
+    """doc_id and the columns that ``columns`` makes of a model, texts and their n best segmentations."""
     bounded_batches(docs.sparkSession)
+    rows = id_and_text(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("array<struct<score: double, ids: array<int>>>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches):
         m = lattice(model)
-        return pd.Series([[{"score": s, "ids": ids} for s, ids in m.encode(t, n_best, cut)] for t, cut in zip(texts, m.prepare(texts), strict=True)])
+        for batch in batches:
+            for part in text_slices(batch, "text", limit=_TOGETHER):
+                texts = part.column("text").to_pylist()
+                got = [m.encode(t, n_best, cut) for t, cut in zip(texts, m.prepare(texts), strict=True)]
+                made = {"doc_id": part.column("doc_id"), **columns(m, texts, got)}
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return rows.mapInArrow(run, f"doc_id {kind}, {names}")
+
+
+def encode(docs: DataFrame, *, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ``segmentations``, an array of (score, ids), best first, of every row."""
 
-    return id_and_text(docs, id_col, text_col).select("doc_id", run("text").alias("segmentations"))
+    def columns(m, texts, got):
+        each = [x for segmentations in got for x in segmentations]
+        both = pa.StructArray.from_arrays([pa.array([s for s, _ in each], pa.float64()), _numbers([ids for _, ids in each])], ["score", "ids"])
+        return {"segmentations": pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)], dtype=np.int32), both)}
+
+    return _searched(docs, model, n_best, id_col, text_col, columns, "segmentations array<struct<score: double, ids: array<int>>>")
 
 
 def decode(rows: DataFrame, ids: str, *, model: str = MODEL, to: str = "text") -> DataFrame:
@@ -361,25 +403,23 @@ def decode(rows: DataFrame, ids: str, *, model: str = MODEL, to: str = "text") -
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
         m = lattice(model)
-        return pd.Series([m.decode([] if x is None else [int(i) for i in x]) for x in lists])
+        return pd.Series([m.decode([] if x is None else x) for x in lists])
 
     return rows.withColumn(to, run(F.col(ids)))
 
 
 def summarise(docs: DataFrame, *, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the number of pieces of the best segmentation and the digest of its ids, the scores of the n best, and whether each of them decodes to the text."""
-    bounded_batches(docs.sparkSession)
-
-    @F.pandas_udf("n_pieces long, scores array<double>, ids_crc32 long, round_trip boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        import zlib
-
-        m = lattice(model)
-        rows = []
-        for t, cut in zip(texts, m.prepare(texts), strict=True):
-            got = m.encode(t, n_best, cut)
-            rows.append((len(got[0][1]), [s for s, _ in got], zlib.crc32(np.array(got[0][1], "<i4").tobytes()), all(m.decode(ids) == t for _, ids in got)))
-        return pd.DataFrame(rows, columns=["n_pieces", "scores", "ids_crc32", "round_trip"])
-
-    out = id_and_text(docs, id_col, text_col).select("doc_id", run("text").alias("r"))
-    return out.select("doc_id", "r.n_pieces", "r.scores", "r.ids_crc32", "r.round_trip")
+    """Per row: the number of pieces of the best segmentation and its ids, the scores of the n best and the digest of the ids
+    of each, and whether each of them decodes to the text."""
+
+    def columns(m, texts, got):
+        ids = [[x for _, x in segmentations] for segmentations in got]
+        return {
+            "n_pieces": pa.array([len(x[0]) for x in ids], pa.int64()),
+            "ids": _numbers([x[0] for x in ids]),
+            "scores": pa.array([[s for s, _ in x] for x in got], pa.list_(pa.float64())),
+            "ids_crc32": pa.array([[zlib.crc32(y.astype("<i4").tobytes()) for y in x] for x in ids], pa.list_(pa.int64())),
+            "round_trip": pa.array([m.decode(x[0]) == t and all(m.decodes_alike(x[0], y) for y in x[1:]) for t, x in zip(texts, ids, strict=True)], pa.bool_()),
+        }
+
+    return _searched(docs, model, n_best, id_col, text_col, columns, "n_pieces long, ids array<int>, scores array<double>, ids_crc32 array<long>, round_trip boolean")
