@@ -578,10 +578,93 @@ def test_html(spark, body):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
-def test_wrapper_drops_constant_text():
-    pages = ["<body><article><p>Share this story now</p><p>Text number %d is here</p></article></body>" % k for k in range(6)]
-    w = html_text.induce(pages)
-    assert html_text.extract(pages[0], w) == "Text number 0 is here"
+def pages_of(spark, htmls, host="h.example"):
+    return spark.createDataFrame([(k, f"http://{host}/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def main_of(spark, htmls):
+    return [r["text"] for r in sorted(html_text.main_texts(pages_of(spark, htmls)).collect(), key=lambda r: r["page_id"])]
+
+
+def test_wrapper_tells_template_from_content(spark):
+    """A constant paragraph is template; headings, items and texts that only some pages share are content."""
+    page = "<body><div class='x'><article><h2>Ingredients</h2><ul><li>Salt</ul><p>Text number {k} is here</p><p>{some}</p><p>Share this story now</p></article></div></body>"
+    # the shared line is on most of any eight pages, but on fewer than four in five of all
+    htmls = [page.replace("{k}", str(k)).replace("{some}", "Shared by some" if k % 4 else f"Own line {k}") for k in range(60)]
+    got = main_of(spark, htmls)
+    assert got == [f"Ingredients\nSalt\nText number {k} is here\n" + ("Shared by some" if k % 4 else f"Own line {k}") for k in range(60)]
+    # many copies of one page are one page
+    assert set(main_of(spark, [htmls[0]] * 30 + htmls[1:3])[:30]) == {"Ingredients\nSalt\nText number 0 is here\nOwn line 0\nShare this story now"}
+
+
+@pytest.mark.parametrize("name", ["site has-sidebar", "content-with-banner", "no-ads", "page-wrapper"])
+def test_marks_around_the_article_say_nothing(spark, name):
+    article = "<article><h1>Title {k}</h1><p class='notice-board'>One {k} <a class='comment-link' href='#'>two</a> <span class='ad'>three</span></p><div class='ad-slot'>Buy {k}</div><p class='advert'>Buy {k}</p></article>"
+    for inner in (article, article.replace("article", "div")):
+        htmls = [f"<body><nav>Menu</nav><div class='{name}'>{inner}<div class='sidebar'>Side {{k}}</div></div></body>".replace("{k}", str(k)) for k in range(6)]
+        assert main_of(spark, htmls) == [f"Title {k}\nOne {k} two three" for k in range(6)]
+        assert [html_text.extract(h) for h in htmls] == [f"Title {k}\nOne {k} two three" for k in range(6)]
+
+
+def test_heading_beside_the_text(spark):
+    htmls = [f"<body><div class=page><h1>Title {k}</h1><div class=text>Long words of page {k} without any paragraph</div></div><div class=box>Box</div></body>" for k in range(6)]
+    assert main_of(spark, htmls) == [f"Title {k}\nLong words of page {k} without any paragraph" for k in range(6)]
+
+
+def test_page_inside_a_form(spark):
+    htmls = [f"<body><form action=x><div><h1>Title {k}</h1><p>Words of page {k}</p><form class=search>Find</form></div></form></body>" for k in range(5)]
+    assert main_of(spark, htmls) == [f"Title {k}\nWords of page {k}" for k in range(5)]
+
+
+def test_two_layouts_of_a_host(spark):
+    one = "<body><div class=story><h1>A {k}</h1><p>Long words of story {k} and more of them</p></div><div class=box>Box text</div></body>"
+    two = "<body><section class=review><p>Review {k} with some words of its own</p><p>Read our rules first</p></section></body>"
+    htmls = [(one if k % 5 else two).replace("{k}", str(k)) for k in range(40)]
+    assert main_of(spark, htmls) == [f"A {k}\nLong words of story {k} and more of them" if k % 5 else f"Review {k} with some words of its own" for k in range(40)]
+
+
+def test_deep_and_large_pages(spark):
+    """Time and memory grow with the page, not with its square."""
+    deep = "<div>" * 100_000 + "deep words" + "</div>" * 100_000
+    wide = "<body><article>" + "".join(f"<p>Paragraph {k}</p>" for k in range(20_000)) + "</article></body>"
+    loose = "<div>" * 20_000 + "</b>" * 20_000 + "end" + "</span>" * 1000
+    import time
+
+    start = time.time()
+    assert [html_text.extract(x).count("\n") for x in (deep, wide, loose)] == [0, 19_999, 0]
+    assert time.time() - start < 20
+    assert main_of(spark, [deep, deep.replace("deep", "low"), wide, loose]) == [html_text.extract(x) for x in (deep, deep.replace("deep", "low"), wide, loose)]
+
+
+def test_html_odd_tables(spark):
+    df = pages_of(spark, ["<p>a", None, ""])
+    assert html_text.main_texts(df.where("false")).count() == 0
+    named = df.selectExpr("concat('p', page_id) page_id", "url", "html", "1 as host", "2 as mark", "'x' as text", "3 as group", "4 as path")
+    assert {(r["page_id"], r["text"]) for r in html_text.main_texts(named).collect()} == {("p0", "a"), ("p1", ""), ("p2", "")}
+
+
+def test_matching_is_the_largest():
+    """Against all alignments of small trees, by brute force."""
+    rng = random.Random(17)
+
+    def grow(depth, path):
+        t = html_text.Tree(path, 0, depth)
+        t.children = [grow(depth + 1, path * 4 + rng.randint(1, 3)) for _ in range(rng.randint(0, 3 if depth < 3 else 0))]
+        return t
+
+    def most(x, y):
+        def lists(p, q):
+            if not p or not q:
+                return 0
+            best = max(lists(p[1:], q), lists(p, q[1:]))
+            return max(best, most(p[0], q[0]) + lists(p[1:], q[1:])) if p[0].path == q[0].path else best
+
+        return 1 + lists(x.children, y.children)
+
+    for _ in range(100):
+        a, b = grow(0, 1), grow(0, 1)
+        got = html_text.match(a, b)
+        assert len(got) == most(a, b) and all(x.path == y.path for x, y in got)
 
 
 def test_fixity(spark):
