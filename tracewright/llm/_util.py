@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -78,6 +79,25 @@ def row_hash(row: Column) -> Column:
     return F.xxhash64(F.to_json(row))
 
 
+def released(step):
+    """``step``, a generator of batches, that gives its worker's free memory back to the system when it ends.
+
+    Workers are kept for later tasks; what they no longer use would count against the executor all that time.
+    """
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, id_and_text, materialise, text_slices
+from ._util import bounded_batches, id_and_text, materialise, released, text_slices
 from ._words import words_of
 from .exact_dedup import marked_among
 
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     names=["ids", "keys", "n_words", "terms", "counts", "postings"],
                 )
 
-    made = rows.mapInArrow(make, f"ids array<{kind}>, keys array<binary>, n_words array<int>, terms binary, counts binary, postings binary")
+    made = rows.mapInArrow(released(make), f"ids array<{kind}>, keys array<binary>, n_words array<int>, terms binary, counts binary, postings binary")
     return materialise(made.withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
@@ -190,7 +190,7 @@ def windows_of(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str
                     if cut:
                         yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array([item] * len(cut), pa.string())], names=["window", "item"])
 
-    return rows.mapInArrow(make, "window binary, item string").distinct()
+    return rows.mapInArrow(released(make), "window binary, item string").distinct()
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_windows: int):
@@ -216,7 +216,7 @@ def search(index: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id",
                 for k in range(batch.num_rows):
                     yield _findings(batch.slice(k, 1), sent.value, whole)
 
-        found = index.mapInArrow(scan, schema)
+        found = index.mapInArrow(released(scan), schema)
         if parts == 1:
             return found.drop("segment", "row")
         found = materialise(found, "findings")
@@ -319,7 +319,7 @@ def matches(index: DataFrame, benchmark: DataFrame, *, slop: int = 0, item_col:
                     columns = [pa.array([x[j] for x in got], t) for j, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))]
                     yield pa.RecordBatch.from_arrays([own["ids"].values.take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "start", "end", "exact"])
 
-        part = index.mapInArrow(scan, f"doc_id {kind}, item_id string, start long, end long, exact boolean")
+        part = index.mapInArrow(released(scan), f"doc_id {kind}, item_id string, start long, end long, exact boolean")
         out = part if out is None else out.unionByName(part)
     return out
 

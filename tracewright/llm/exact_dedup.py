@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, discard, materialise, row_hash
+from ._util import bounded_batches, discard, materialise, released, row_hash
 from ._words import mix
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -86,7 +86,7 @@ def repeated_hashes(hashes: DataFrame, column: str, n_rows: int, shard: int = SH
             seen[at] = True
             yield pa.RecordBatch.from_arrays([pa.array(h[again])], names=["h"])
 
-    return hashes.select(column).mapInArrow(compact, "h long, again boolean").repartition(shards, "h").mapInArrow(pass_shard, "h long")
+    return hashes.select(column).mapInArrow(released(compact), "h long, again boolean").repartition(shards, "h").mapInArrow(released(pass_shard), "h long")
 
 
 def filter_of(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
@@ -108,7 +108,7 @@ def filter_of(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_BIT
 
     # few large tasks: a filter per task costs its size, and keys are small
     tasks = max(1, min(-(-n_keys // 1_000_000), 64))
-    pieces = keys.select(column).coalesce(tasks).mapInArrow(build, "piece int, bits binary").groupBy("piece").applyInPandas(merge, "piece int, bits binary")
+    pieces = keys.select(column).coalesce(tasks).mapInArrow(released(build), "piece int, bits binary").groupBy("piece").applyInPandas(merge, "piece int, bits binary")
     bits = np.zeros(m // 8, np.uint8)
     for r in pieces.toLocalIterator():
         x = np.frombuffer(bytes(r["bits"]), np.uint8)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, discard, id_and_text, materialise, row_hash, spread_join, text_slices
+from ._util import bounded_batches, discard, id_and_text, materialise, released, row_hash, spread_join, text_slices
 from ._words import Words, mix, words_of
 from .exact_dedup import lookup, marked_among
 
@@ -188,7 +188,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, least: float, sketche
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"doc_id {kind}, text_key binary, n int, sketches array<long>, mark array<long>, signature array<long>").withColumn("row_id", F.monotonically_increasing_id())
+    return rows.mapInArrow(released(make), f"doc_id {kind}, text_key binary, n int, sketches array<long>, mark array<long>, signature array<long>").withColumn("row_id", F.monotonically_increasing_id())
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,7 +201,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             for part in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(_sequence_keys(words_of(part.column("text"))), pa.binary()), part.column("text")], names=["node", "text"])
 
-    found = rows.where("some").select("text").mapInArrow(keyed, "node binary, text string")
+    found = rows.where("some").select("text").mapInArrow(released(keyed), "node binary, text string")
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -228,7 +228,7 @@ def _verify(pairs: DataFrame, n: int, texts: DataFrame, least: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], names=["a", "b"])
 
     both = spread_join(spread_join(pairs, left, "a", "b", n), right, "b", "a", n, counted=pairs)
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(released(check), "a binary, b binary")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:

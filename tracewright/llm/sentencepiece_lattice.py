@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, id_and_text, text_slices
+from ._util import bounded_batches, id_and_text, released, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -382,8 +382,11 @@ def _searched(docs: DataFrame, model: str, n_best: int, id_col: str, text_col: s
                 got = [m.encode(t, n_best, cut) for t, cut in zip(texts, m.prepare(texts), strict=True)]
                 made = {"doc_id": part.column("doc_id"), **columns(m, texts, got)}
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+        # the worker may go on to other work: only the model stays
+        m.forget()
+        m.lists.clear()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {names}")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, {names}")
 
 
 def encode(docs: DataFrame, *, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
