@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 
 #: Bytes of one Arrow batch, about: long texts make for fewer rows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: Text bytes that one vectorised step handles at once (one text may be longer).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` stores the postings of every word of the training texts: one row of
-the index, a segment, covers about SLICE_BYTES of text and holds the hashes of its
+the index, a segment, covers about SEGMENT bytes of text and holds the hashes of its
 words in order, the number of postings of each, and the positions, list after list.
 Segments are made where the texts are, so nothing shuffles, and can be searched
 again for other test items.
@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 
 from ._util import bounded_batches, id_and_text, materialise, released, text_slices
 from ._words import words_of
-from .exact_dedup import marked_among
+from .exact_dedup import tester
 
 WINDOW = 10
 #: (window, item) pairs of one block; a window is 10 hashes of 8 bytes.
 BLOCK_WINDOWS = 200_000
+#: Bytes of text of a segment, about.
+SEGMENT = 1 << 20
 #: Candidates that one step of the lookup holds.
 _STEP = 1 << 21
 
@@ -57,7 +59,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def make(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", limit=SEGMENT):
                 words = words_of(part.column("text"))
                 order = np.argsort(words.hash, kind="stable")
                 terms, counts = np.unique(words.hash, return_counts=True)
@@ -285,17 +287,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     names = docs.columns
     found = search(build_index(docs, id_col=id_col, text_col=text_col), benchmark, item_col=item_col, item_text_col=item_text_col, width=width, block_windows=block_windows)
     bad = materialise(found.where(F.size("items") > 0).select(F.col("text_key").alias("_key")).distinct(), "contaminated")
-    short = lambda c: F.xxhash64(F.col(c))
+    hashes = bad.select(F.conv(F.hex(F.substring("_key", 1, 7)), 16, 10).cast("long").alias("h"))
+    test = tester(hashes, "h", bad.count()) or (lambda h: np.ones(len(h), bool))
 
+    # one step in a worker: the key of a text that may be among the bad ones, else null
     @F.pandas_udf("binary")
     def key_of(text: pd.Series) -> pd.Series:
-        return text.map(_key)
+        keys = [_key(t) for t in text]
+        some = test(np.array([int.from_bytes(k[:7]) for k in keys], np.int64)) if keys else ()
+        return pd.Series([k if ok else None for k, ok in zip(keys, some, strict=True)], dtype=object)
 
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     row = row.withColumn("key", key_of(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
-    row = marked_among(row, short("key"), bad.select(short("_key").alias("h")), "h", bad.count(), "some")
-    clean = row.where("some").join(bad, F.col("key") == F.col("_key"), "left_anti")
-    return row.where(~F.col("some")).select("row").unionByName(clean.select("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    clean = row.where(F.col("key").isNotNull()).join(bad, F.col("key") == F.col("_key"), "left_anti")
+    return row.where(F.col("key").isNull()).select("row").unionByName(clean.select("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
 
 
 def matches(index: DataFrame, benchmark: DataFrame, *, slop: int = 0, item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:

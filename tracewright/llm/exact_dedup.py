@@ -116,14 +116,16 @@ def filter_of(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_BIT
     return bits, m
 
 
-def in_filter(spark, bits: np.ndarray, m: int):
-    """A column function: are all bits of the hash set?"""
-    sent = spark.sparkContext.broadcast(bits)
+def tester(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_BITS):
+    """A function from an array of hashes to flags, for use in workers: may they be among ``keys``? None with more keys than a filter can hold."""
+    if n_keys * LEAST_BITS > max_bits:
+        return None
+    bits, m = filter_of(keys, column, n_keys, max_bits)
+    sent = keys.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf(T.BooleanType())
-    def test(h: pd.Series) -> pd.Series:
-        at = _bits(h.to_numpy(), m)
-        return pd.Series(((sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
+    def test(h: np.ndarray) -> np.ndarray:
+        at = _bits(h, m)
+        return ((sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
     return test
 
@@ -133,8 +135,8 @@ def marked_among(rows: DataFrame, hash_of: Column, keys: DataFrame, column: str,
 
     A filter tells it where the rows are. With more keys than the filter can hold the rows are joined with them.
     """
-    if n_keys * LEAST_BITS <= max_bits:
-        return rows.withColumn(to, in_filter(rows.sparkSession, *filter_of(keys, column, n_keys, max_bits))(hash_of))
+    if test := tester(keys, column, n_keys, max_bits):
+        return rows.withColumn(to, F.pandas_udf(lambda h: pd.Series(test(h.to_numpy())), T.BooleanType(), F.PandasUDFType.SCALAR)(hash_of))
     known = keys.select(F.col(column).alias("_hash")).distinct().withColumn("_known", F.lit(True))
     return rows.withColumn("_hash", hash_of).join(known, "_hash", "left").withColumn(to, F.col("_known").isNotNull()).drop("_hash", "_known")
 

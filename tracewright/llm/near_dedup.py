@@ -38,13 +38,14 @@ import math
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import bounded_batches, discard, id_and_text, materialise, released, row_hash, spread_join, text_slices
 from ._words import Words, mix, words_of
-from .exact_dedup import lookup, marked_among
+from .exact_dedup import lookup, marked_among, tester
 
 K = 5
 SIMILARITY = 0.8
@@ -194,14 +195,19 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, least: float, sketche
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of the texts in ``wanted`` (node, doc_id): rows are found by id, then told apart by their words."""
     wanted = materialise(wanted, "near-ids")
-    rows = marked_among(id_and_text(docs, id_col, text_col), F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("h")), "h", wanted.count(), "some")
+    ids = wanted.select(F.xxhash64("doc_id").alias("h"))
+    test = tester(ids, "h", wanted.count())
+    rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("doc_id").alias("h"), "text")
+    rows = rows if test else rows.join(ids.distinct(), "h", "left_semi").select("h", "text")
 
     def keyed(batches):
         for batch in batches:
+            if test:
+                batch = batch.filter(pa.array(test(batch.column("h").to_numpy(zero_copy_only=False))))
             for part in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(_sequence_keys(words_of(part.column("text"))), pa.binary()), part.column("text")], names=["node", "text"])
 
-    found = rows.where("some").select("text").mapInArrow(released(keyed), "node binary, text string")
+    found = rows.mapInArrow(released(keyed), "node binary, text string")
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -375,18 +381,24 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     verdict = each.groupBy("doc_id", "text_key").agg(F.max((F.col("row_id") == F.col("class_row")).cast("int")).alias("best"), F.count(F.lit(1)).alias("k"))
     verdict = materialise(verdict.where("best = 0 or k > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("best").alias("_best")), "near-verdict")
 
-    @F.pandas_udf("binary")
-    def key_of(text):
-        import pandas as pd
+    ids = verdict.select(F.xxhash64("_id").alias("h"))
+    test = tester(ids, "h", verdict.count()) or (lambda h: np.ones(len(h), bool))
 
-        words = words_of(pa.array(text, pa.large_string()))
-        return pd.Series([k if ok else b"" for k, ok in zip(_sequence_keys(words), (words.counts() > 0).tolist(), strict=True)])
+    # one step in a worker both picks rows and makes their keys: null where an id has no verdict
+    @F.pandas_udf("binary")
+    def key_of(h: pd.Series, text: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(h), dtype=object)
+        some = np.flatnonzero(test(h.to_numpy()))
+        if len(some):
+            words = words_of(pa.array(text.iloc[some], pa.large_string()))
+            out.iloc[some] = [k if ok else b"" for k, ok in zip(_sequence_keys(words), (words.counts() > 0).tolist(), strict=True)]
+        return out
 
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).alias("id"))
-    row = marked_among(row, F.xxhash64("id"), verdict.select(F.xxhash64("_id").alias("h")), "h", verdict.count(), "some")
+    row = row.withColumn("key", key_of(F.xxhash64("id"), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
     # rows whose id has no verdict stay where they are
-    alone = row.where(~F.col("some")).select("row")
-    judged = row.where("some").withColumn("key", key_of(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))).join(verdict, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    alone = row.where(F.col("key").isNull()).select("row")
+    judged = row.where(F.col("key").isNotNull()).join(verdict, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     alone = alone.unionByName(judged.where(F.col("_best").isNull()).select("row"))
     alike = judged.where("_best = 1").groupBy("id", "key").agg(F.min_by("row", row_hash(F.col("row"))).alias("row")).select("row")
     return alone.unionByName(alike).select(*(F.col(f"row.`{c}`").alias(c) for c in names))

@@ -38,12 +38,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 #: Chunks whose results a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 #: New chunks that are searched together; longer ones than _WIDE are searched alone.
-_MANY, _WIDE = 10_000, 64
+_MANY, _WIDE = 5_000, 64
 #: Bytes of text that are searched together.
-_TOGETHER = 1 << 19
-_NONE, _INF = object(), float("inf")
+_TOGETHER = 1 << 18
+_INF = float("inf")
 _MARK = "\x00"  # stands for a literal U+2581 while a text is cut; a NUL has no piece either
 
 
@@ -52,9 +52,8 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unknown: int):
         self.byte_ids, self.unknown = byte_ids, unknown
-        #: Every beginning of a piece; pieces with (score, ids), others with None.
-        self.prefixes: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
-        self.prefixes |= {p: (score, (i,)) for p, (i, score) in pieces.items()}
+        #: Pieces with (score, ids).
+        self.pieces: dict[str, tuple[float, tuple[int, ...]]] = {p: (score, (i,)) for p, (i, score) in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
         #: The text of pieces, and of byte pieces that are a character.
         self.plain = {i: p.replace(SPACE, " ") for p, (i, _) in pieces.items()} | {i: chr(b) for i, b in self.byte_of.items() if b < 0x80}
@@ -98,15 +97,12 @@ class Lattice:
         return cls(pieces, own if min(own) >= 0 else None, sp.unk_id())
 
     def arcs(self, chunk: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """All arcs (start, end, score, ids), by start. A start is left once no piece begins like what was read."""
+        """All arcs (start, end, score, ids), by start."""
         out = []
-        get, n = self.prefixes.get, len(chunk)
+        get, n = self.pieces.get, len(chunk)
         for start in range(n):
-            for end in range(start + 1, n + 1):
-                hit = get(chunk[start:end], _NONE)
-                if hit is not None:
-                    if hit is _NONE:
-                        break
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                if (hit := get(chunk[start:end])) is not None:
                     out.append((start, end, *hit))
             if chunk[start] not in self.known:
                 out.append((start, start + 1, self.floor, self.fallback(chunk[start])))
@@ -151,11 +147,12 @@ class Lattice:
     def _tables(self):
         """The beginnings of pieces as a trie in arrays: symbols of characters, keys (node, symbol) in order, the nodes they lead to, and each node's score and id."""
         if self._trie is None:
-            symbol = {c: k for k, c in enumerate(sorted({c for p in self.prefixes for c in p}), 1)}
+            prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+            symbol = {c: k for k, c in enumerate(sorted({c for p in prefixes for c in p}), 1)}
             of = np.zeros(0x110000, np.int32)
             for c, k in symbol.items():
                 of[ord(c)] = k
-            node = {p: k for k, p in enumerate(sorted(self.prefixes, key=lambda p: (len(p), p)), 1)}
+            node = {p: k for k, p in enumerate(sorted(prefixes, key=lambda p: (len(p), p)), 1)}
             wide = len(symbol) + 1
             key = np.array([node.get(p[:-1], 0) * wide + symbol[p[-1]] for p in node], np.int64)
             to = np.array(list(node.values()), np.int64)
@@ -163,8 +160,8 @@ class Lattice:
             score = np.full(len(node) + 1, np.nan)
             ids = np.zeros(len(node) + 1, np.int32)
             for p, k in node.items():
-                if self.prefixes[p]:
-                    score[k], (ids[k],) = self.prefixes[p]
+                if p in self.pieces:
+                    score[k], (ids[k],) = self.pieces[p]
             known = np.zeros(wide, bool)
             known[[symbol[c] for c in self.known]] = True
             self._trie = of, wide, key[order], to[order], score, ids, known
