@@ -80,11 +80,13 @@ def derive_bands(rows: DataFrame, *, unsure: int = 0, assert_only: bool = False,
         raise Refused("no threshold asserts with the precision needed")
     low, refute_precision = -1, None
     if not assert_only:
-        for step in range(0, top - GAP + 1):
+        for step in range(1, top - GAP + 1):
             holds, of = below(step)
-            if of and holds / of >= MIN_PRECISION and clear(step):
-                low, refute_precision = step, holds / of
-                break
+            if of and holds / of >= MIN_PRECISION:
+                if clear(step):
+                    low, refute_precision = step, holds / of
+                    break
+                rejected.append(step / 100)
         else:
             raise Refused("no threshold refutes with the precision needed; declare the predicate assert-only")
     withheld = sum(t + f for b, (t, f) in got.items() if low < b < top) / n
@@ -108,7 +110,7 @@ def diff_annotations(before: DataFrame, after: DataFrame, jitter: float = JITTER
     )
 
 
-def provenance(ratios: DataFrame, own: float = 0.9, borrowed: int = 2) -> DataFrame:
+def provenance(ratios: DataFrame, own: float = 0.6, borrowed: int = 3) -> DataFrame:
     """Per clause and scope (holds, of): own, borrowed (kept in enough other scopes) or neither."""
     from pyspark.sql import Window
 

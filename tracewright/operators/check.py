@@ -16,6 +16,10 @@ from ..functions import scalars as S
 from ..plans.alphabet import Alphabet, ArtefactError
 
 
+# The operators of a condition.
+OPERATORS = ("eq", "neq", "in", "gt", "gte", "lt", "lte")
+
+
 @dataclass
 class Clause:
     id: str
@@ -49,8 +53,11 @@ def parse_contracts(source: str | dict) -> list[Clause]:
                 raise ArtefactError(f"{at}: needs a subject, and a guard for precedence")
             if c.get("window", "episode") not in ("episode", "interaction"):
                 raise ArtefactError(f"{at}: window must be episode or interaction")
-            if c.get("when") is not None and not c["when"].get("fact"):
-                raise ArtefactError(f"{at}: when needs a fact")
+            if (when := c.get("when")) is not None:
+                if not isinstance(when, dict) or not when.get("fact"):
+                    raise ArtefactError(f"{at}: when needs a fact")
+                if sum(o in when for o in OPERATORS) != 1:
+                    raise ArtefactError(f"{at}: when needs one of {', '.join(OPERATORS)}")
         elif not c.get("reason"):
             raise ArtefactError(f"{at}: an inexpressible clause needs a reason")
         out.append(Clause(c["id"], c["text"], c.get("expressible", True), c.get("reason"), c.get("shape"), c.get("subject"), c.get("guard"), c.get("window", "episode"), c.get("when")))
@@ -96,35 +103,69 @@ def fact_column(fact: str) -> Column:
     return F.when(S.is_categorical(s), s)
 
 
+def rendered(when: dict) -> str:
+    """A condition as text."""
+    op = next(o for o in OPERATORS if o in when)
+    sign = {"eq": "=", "neq": "!=", "in": "in", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}[op]
+    value = when[op]
+    return f"{when['fact']} {sign} {'{' + ', '.join(map(str, value)) + '}' if isinstance(value, list) else value}"
+
+
+def conjunction(conditions: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """All of named conditions, three-valued, and the names of those that are unknown."""
+    whole = F.lit(True)
+    for _, c in conditions:
+        whole = whole & c
+    return whole, F.filter(F.array(*(F.when(c.isNull(), F.lit(n)) for n, c in conditions)), lambda x: x.isNotNull())
+
+
 def violations(events: DataFrame, clauses: list[Clause], alphabet: Alphabet) -> DataFrame:
-    """(clause, interaction_id, episode, seq, violated) of every instance that exercises a clause."""
+    """(clause, interaction_id, episode, seq, violated) of every instance that exercises a clause.
+
+    Guards and repeats are one number for each scope, aggregated before they are
+    shuffled; only the subjects, with the facts that conditions ask for, meet them.
+    """
     subjects = set(alphabet.consequential())
     live = [(k, c) for k, c in enumerate(clauses) if c.expressible and c.subject in subjects]
-    facts = sorted({c.when["fact"] for _, c in live if c.when})
-    names = {f: f"_fact{i}" for i, f in enumerate(facts)}
+    if not live:
+        return events.where("false").select(F.lit(0).alias("no"), F.lit("").alias("clause"), F.lit("").alias("shape"), F.lit(False).alias("violated"), "interaction_id", "episode", "seq")
+    names = {f: f"_fact{i}" for i, f in enumerate(sorted({c.when["fact"] for _, c in live if c.when}))}
+    own = F.col("type").isin(sorted({c.subject for _, c in live}))
     rows = events
-    for f, n in names.items():
-        rows = rows.withColumn(n, fact_column(f))
-    guards = sorted({(c.window, c.guard) for _, c in live if c.shape == "precedence"})
-    first = {}
-    for i, (window, guard) in enumerate(guards):
-        keys = ["interaction_id", "episode"] if window == "episode" else ["interaction_id"]
-        first[window, guard] = f"_first{i}"
-        rows = rows.withColumn(f"_first{i}", F.min(F.when(F.col("type") == guard, F.col("seq"))).over(Window.partitionBy(*keys)))
-    episode = Window.partitionBy("interaction_id", "episode")
-    for i, t in enumerate(sorted({c.subject for _, c in live if c.shape == "at-most-one"})):
-        first["count", t] = f"_count{i}"
-        rows = rows.withColumn(f"_count{i}", F.sum(F.when(F.col("type") == t, 1)).over(episode))
+    if names:
+        # facts look back in their episode, at events that can tell one
+        telling = own
+        for f in names:
+            if f.startswith("slot."):
+                telling = telling | S.is_categorical(F.col("slots")[f[5:]])
+            elif f == "episode.intent":
+                telling = telling | (F.col("kind") == "customer_intent")
+        rows = rows.where(telling)
+        for f, n in names.items():
+            rows = rows.withColumn(n, fact_column(f))
+    rows = rows.where(own).select("interaction_id", "episode", "seq", "type", *names.values())
+    found: dict[tuple, str] = {}
+    for window, keys in (("episode", ["interaction_id", "episode"]), ("interaction", ["interaction_id"])):
+        guards = sorted({c.guard for _, c in live if c.shape == "precedence" and c.window == window})
+        repeats = sorted({c.subject for _, c in live if c.shape == "at-most-one"}) if window == "episode" else []
+        if not guards and not repeats:
+            continue
+        figures = []
+        for i, g in enumerate(guards):
+            found[window, g] = f"_{window}{i}"
+            figures.append(F.min(F.when(F.col("type") == g, F.col("seq"))).alias(f"_{window}{i}"))
+        for i, t in enumerate(repeats):
+            found["repeats", t] = f"_repeats{i}"
+            figures.append(F.sum(F.when(F.col("type") == t, 1)).alias(f"_repeats{i}"))
+        rows = rows.join(events.where(F.col("type").isin([*guards, *repeats])).groupBy(*keys).agg(*figures), keys, "left")
     verdicts = []
     for k, c in live:
         applies = F.col("type") == c.subject
         if c.when:
-            op = next(o for o in ("eq", "neq", "in", "gt", "gte", "lt", "lte") if o in c.when)
+            op = next(o for o in OPERATORS if o in c.when)
             applies = applies & F.coalesce(condition(op, F.col(names[c.when["fact"]]), c.when[op]), F.lit(False))
-        bad = ~F.coalesce(F.col(first[c.window, c.guard]) < F.col("seq"), F.lit(False)) if c.shape == "precedence" else F.col(first["count", c.subject]) > 1
+        bad = ~F.coalesce(F.col(found[c.window, c.guard]) < F.col("seq"), F.lit(False)) if c.shape == "precedence" else F.col(found["repeats", c.subject]) > 1
         verdicts.append(F.when(applies, F.struct(F.lit(k).alias("no"), F.lit(c.id).alias("clause"), F.lit(c.shape).alias("shape"), bad.alias("violated"))))
-    if not verdicts:
-        return rows.where("false").select(F.lit(0).alias("no"), F.lit("").alias("clause"), F.lit("").alias("shape"), F.lit(False).alias("violated"), "interaction_id", "episode", "seq")
     out = rows.select("interaction_id", "episode", "seq", F.explode(F.filter(F.array(*verdicts), lambda x: x.isNotNull())).alias("x"))
     return out.select("x.no", "x.clause", "x.shape", "x.violated", "interaction_id", "episode", "seq")
 
@@ -146,14 +187,22 @@ def buckets(exercised: DataFrame) -> DataFrame:
     return exercised.withColumn("status", status).withColumn("ratio", F.when(F.col("exercised") == 0, 0.0).otherwise(F.col("violated") / F.col("exercised")))
 
 
-def even_sample(rows: DataFrame, order: list[str], n: int, by: str) -> DataFrame:
-    """At most ``n`` rows per ``by``, evenly spaced in ``order``, first and last always."""
-    w = Window.partitionBy(by)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+def even_sample(rows: DataFrame, order: list[str], n: int, by: str, prefix: int = 4) -> DataFrame:
+    """At most ``n`` rows per ``by``, evenly spaced in ``order``, first and last always.
+
+    ``order`` begins with a text column, whose first ``prefix`` characters cut a group into parts that follow one
+    another: rows are numbered within their part, and the parts' sizes, which are few, give where each begins.
+    """
+    part = F.substring(F.col(order[0]), 1, prefix)
+    sizes = rows.groupBy(by, part.alias("_part")).agg(F.count(F.lit(1)).alias("_k"))
+    ahead = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "_part", F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy(by)).alias("_n"))
+    out = rows.withColumn("_part", part).withColumn("_i", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1)
+    out = out.join(sizes, [by, "_part"]).withColumn("_i", F.col("_i") + F.col("_before"))
     if n <= 1:
-        return out.where(F.col("_i") < n).drop("_i", "_n")
-    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(n - 1) + 0.5).cast("int"))
-    return out.where((F.col("_n") <= n) | F.array_contains(spots, F.col("_i"))).drop("_i", "_n")
+        return out.where(F.col("_i") < n).drop("_i", "_n", "_part", "_before")
+    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(n - 1) + 0.5).cast("long"))
+    return out.where((F.col("_n") <= n) | F.array_contains(spots, F.col("_i"))).drop("_i", "_n", "_part", "_before")
 
 
 def inventory(events: DataFrame, alphabet: Alphabet) -> DataFrame:

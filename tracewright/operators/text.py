@@ -18,9 +18,10 @@ from ..plans.alphabet import ArtefactError
 PATTERNS = {
     "email": S.EMAIL,
     "phone": S.PHONE,
-    "url": r"https?://[^\s<>\"')\]]+",
-    "path": r"(?:[A-Za-z]:\\|~?/)[\w.@-]+(?:[\\/][\w.@-]+)+",
+    "url": r"\bhttps?://[^\s<>\"')\]]+",
+    "path": r"(?:[A-Za-z]:|~|\.\.?)[\\/]+(?:[\w.-]+[\\/]+)*[\w.-]+|(?<![\w.-])[\\/]+(?:[\w.-]+[\\/]+)+[\w.-]+|(?:[\w.-]+[\\/]+){2,}[\w.-]+|[\w-]+[\\/]+[\w-]+\.[A-Za-z0-9]{1,8}\b",
 }
+SURROGATE = re.compile(r"[\w.-]+#[0-9a-f]{12}|h#[0-9a-f]{24}", re.ASCII)
 
 
 @dataclass
@@ -52,33 +53,25 @@ def parse_profile(source: str | dict) -> tuple[str, int, list[Rule]]:
 
 
 def redact_one(text: str, corpus: str, rules: list[Rule]) -> tuple[str, dict[str, int]]:
-    """The redacted text, and how often each rule fired. What an earlier rule has put in is left alone."""
-    parts: list[tuple[str, bool]] = [(text, False)]
+    """The redacted text, and how often each rule fired. Whatever has the form of a surrogate is left alone."""
     fired: dict[str, int] = {}
     for r in rules:
-        n, out = 0, []
-        whole = "".join(p for p, _ in parts)
-        taken, at = [], 0
-        for p, own in parts:
-            if own:
-                taken.append((at, at + len(p)))
-            at += len(p)
-        cuts = []
-        for m in r.regex.finditer(whole):
-            if m.end() > m.start() and not any(a < m.end() and m.start() < b for a, b in taken):
-                cuts.append((m.start(), m.end(), _surrogate(r, corpus, m.group())))
-                n += 1
-        at = 0
-        for a, b, new in sorted([(a, b, None) for a, b in taken] + cuts):
-            if a > at:
-                out.append((whole[at:a], False))
-            out.append((whole[a:b] if new is None else new, True))
-            at = b
-        if at < len(whole):
-            out.append((whole[at:], False))
-        parts = out
-        fired[r.name] = n
-    return "".join(p for p, _ in parts), fired
+        closed = [m.span() for m in SURROGATE.finditer(text)]
+        next_closed, n = 0, 0
+
+        def put(m: re.Match) -> str:
+            nonlocal next_closed, n
+            # matches and closed spans both come in order
+            while next_closed < len(closed) and closed[next_closed][1] <= m.start():
+                next_closed += 1
+            if m.end() == m.start() or (next_closed < len(closed) and closed[next_closed][0] < m.end()):
+                return m.group()
+            n += 1
+            return _surrogate(r, corpus, m.group())
+
+        text = r.regex.sub(put, text)
+        fired[r.name] = fired.get(r.name, 0) + n
+    return text, fired
 
 
 def _surrogate(r: Rule, corpus: str, found: str) -> str:
@@ -101,6 +94,17 @@ def redact_text(text: Column, profile: str) -> Column:
     return run(text)
 
 
+def preview(rows: DataFrame, text: str, profile: str) -> DataFrame:
+    """``rows`` with what a profile would make of a text: before, after, and how often each rule fired."""
+    return rows.withColumn("_r", redact_text(F.col(text), profile)).select("*", F.col(text).alias("before"), "_r.after", "_r.fired").drop("_r")
+
+
+def profile_id(profile: str) -> str:
+    """What an annotation says about the profile its text left under."""
+    corpus, version, _ = parse_profile(profile)
+    return f"text.{corpus}@{version}"
+
+
 def joined_text(rows: DataFrame, keys: list[str], seq: str, text: str) -> DataFrame:
     """Texts that are not blank, in order, joined by newlines; null if there is none."""
     kept = F.array_sort(F.collect_list(F.when(F.trim(F.col(text)) != "", F.struct(F.col(seq).alias("seq"), F.col(text).alias("text")))))
@@ -127,28 +131,18 @@ def without_heredocs(command: str) -> str:
     return "\n".join(out)
 
 
+#: A quoted run, an escaped character, a separator, or what is none of them.
+_TOKEN = re.compile(r"""(?P<quoted>'[^']*(?:'|$)|"(?:\\.|[^"\\])*(?:"|\\?$)|`(?:\\.|[^`\\])*(?:`|\\?$))|\\.|(?P<cut>&&|\|\||[;\n])|[^'"`\\;&|\n]+|.""", re.DOTALL)
+
+
 def segments(command: str) -> list[str]:
     """Parts between && || ; and newlines outside quotes."""
-    text = without_heredocs(command)
-    out, held, quote, i = [], [], "", 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\" and quote != "'":
-            held.append(text[i : i + 2])
-            i += 2
-            continue
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif text[i : i + 2] in ("&&", "||") or c in ";\n":
-            out.append("".join(held))
-            held = []
-            i += 2 if text[i : i + 2] in ("&&", "||") else 1
-            continue
-        held.append(c)
-        i += 1
-    out.append("".join(held))
+    out = [""]
+    for m in _TOKEN.finditer(without_heredocs(command)):
+        if m["cut"]:
+            out.append("")
+        else:
+            out[-1] += m.group()
     return [s.strip() for s in out if s.strip()]
 
 

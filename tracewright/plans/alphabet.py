@@ -187,37 +187,54 @@ def redact(alphabet: Alphabet, slots: Column) -> Column:
         return slots
     every = named.pop("*", None)
 
+    def free(key: Column, s: Column) -> Column:
+        v = s["v"]
+        for r in patterns:
+            p = {"email": S.EMAIL, "phone": S.PHONE, "digits": S.digits(r.get("min_digits", 6))}[r["pattern"]]
+            v = S.replace_matches(v, p, partial(_surrogate, r["strategy"], alphabet.corpus, key))
+        return F.when(s["t"] == "s", F.struct(s["t"].alias("t"), v.alias("v"))).otherwise(s)
+
     def rule_value(r: dict, key: Column, s: Column) -> Column:
-        done = F.struct(F.lit("s").alias("t"), _surrogate(r["strategy"], alphabet.corpus, key, s["v"]).alias("v"))
+        done = F.lit(None).cast(S.SCALAR) if r["strategy"] == "drop" else F.struct(F.lit("s").alias("t"), _surrogate(r["strategy"], alphabet.corpus, key, s["v"]).alias("v"))
         keep = F.lit(False)
         if r.get("unless"):
             keep = keep | F.lower(s["v"]).isin([str(x).lower() for x in r["unless"]])
         if r.get("unless_pattern"):
             keep = keep | s["v"].rlike(r["unless_pattern"])
-        return F.when(s["v"].isNull() | F.coalesce(keep, F.lit(False)), s).otherwise(done)
-
-    def free(s: Column) -> Column:
-        v = s["v"]
-        for r in patterns:
-            p = {"email": S.EMAIL, "phone": S.PHONE, "digits": S.digits(r.get("min_digits", 6))}[r["pattern"]]
-            v = S.replace_matches(v, p, partial(_surrogate, r["strategy"], alphabet.corpus, F.lit(r["pattern"])))
-        return F.when(s["t"] == "s", F.struct(s["t"].alias("t"), v.alias("v"))).otherwise(s)
+        # what a rule exempts was not touched by it, and so passes the patterns
+        return F.when(s["v"].isNull(), s).when(F.coalesce(keep, F.lit(False)), free(key, s)).otherwise(done)
 
     def value(key: Column, s: Column) -> Column:
-        out = free(s)
+        out = free(key, s)
         if every is not None:
             out = F.when(key.isin(every["except"]) if every.get("except") else F.lit(False), out).otherwise(rule_value(every, key, s))
         for name, r in named.items():
             out = F.when(key == name, rule_value(r, key, s)).otherwise(out)
         return out
 
-    dropped = [n for n, r in named.items() if r["strategy"] == "drop"]
-    out = F.transform_values(slots, value)
-    if dropped:
-        out = F.map_filter(out, lambda k, v: ~k.isin(dropped))
-    if every is not None and every["strategy"] == "drop":
-        out = F.map_filter(out, lambda k, v: k.isin([*named, *(every.get("except") or [])]))
-    return out
+    # a dropped value is no scalar at all; an explicit null is one, and stays
+    return F.map_filter(F.transform_values(slots, value), lambda _, v: v.isNotNull())
+
+
+def derive_outcomes(alphabet: Alphabet, interactions: DataFrame, events: DataFrame) -> DataFrame:
+    """``interactions`` with an outcome: their own, else the label of the first rule that their typed events meet."""
+    tests, wanted = [], {}
+    for i, rule in enumerate(alphabet.outcomes):
+        if kind := rule.get("any_event") or rule.get("closed_without"):
+            wanted[f"_met{i}"] = F.bool_or(F.col("type") == kind)
+            met = F.coalesce(F.col(f"_met{i}"), F.lit(False))
+            tests.append((met if rule.get("any_event") else ~met, rule["label"]))
+        elif "result" in rule:
+            tests.append((F.coalesce(F.col("_result") == rule["result"], F.lit(False)), rule["label"]))
+        else:
+            tests.append((F.coalesce(F.col("hints")[rule["hint"]] == S.literal(rule.get("equals")), F.lit(False)), rule["label"]))
+    per = events.groupBy(F.col("interaction_id").alias("_id")).agg(F.max("at").alias("_last"), F.max_by(F.struct("result"), "seq")["result"].alias("_result"), *(c.alias(n) for n, c in wanted.items()))
+    label = F.lit(None).cast("string")
+    for ok, name in reversed(tests):
+        label = F.when(ok, F.lit(name)).otherwise(label)
+    made = F.when(label.isNotNull(), F.struct(label.alias("label"), F.coalesce("_last", "started_at").cast("long").alias("at"), F.lit(0).cast("long").alias("lag_ms"), F.lit("in_band").alias("source")))
+    out = interactions.join(per, F.col("id") == F.col("_id"), "left").withColumn("outcome", F.coalesce("outcome", made))
+    return out.select(*interactions.columns)
 
 
 def shape(features: Column) -> Column:

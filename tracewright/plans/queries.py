@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, calibrate, check
+from ..operators import audit, calibrate, check, record, report
 from ..operators import text as texts
+from ..sources import transcripts
 from . import bindings as B
-from .alphabet import classify, shape
+from .alphabet import classify, redact, shape
 
 #: DuckDB's view of the typed, segmented log over events.
 _EV = """
@@ -105,14 +106,13 @@ def segment_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EV + ", q AS (SELECT *, at_ms - seq AS d FROM ev) SELECT event_id, seq + max(d) OVER (PARTITION BY interaction_id ORDER BY seq) AS at_ms FROM q")
 def monotone_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("interaction_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return B.typed_events(spark, sf_dir)[1].select("event_id", (F.col("seq") + F.max(F.col("at") - F.col("seq")).over(w)).alias("at_ms"))
+    return B.typed_events(spark, sf_dir)[1].select("event_id", transcripts.nudged(F.col("at"), F.col("seq"), ["interaction_id"], "seq").alias("at_ms"))
 
 
 @query(_EV + "SELECT event_id, coalesce(last_value(CASE WHEN kind = 'action' THEN at_ms END IGNORE NULLS) OVER (PARTITION BY interaction_id ORDER BY seq), 0) AS at_ms FROM ev")
 def carry_forward_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("interaction_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return B.typed_events(spark, sf_dir)[1].select("event_id", F.coalesce(F.last(F.when(F.col("kind") == "action", F.col("at")), ignorenulls=True).over(w), F.lit(0).cast("long")).alias("at_ms"))
+    known = F.when(F.col("kind") == "action", F.col("at"))
+    return B.typed_events(spark, sf_dir)[1].select("event_id", F.coalesce(transcripts.carried(known, ["interaction_id"], "seq"), F.lit(0).cast("long")).alias("at_ms"))
 
 
 @query(_EV + "SELECT * FROM (SELECT event_id, type, count(*) OVER (e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY interaction_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS session_before, count(*) OVER (PARTITION BY interaction_id, episode) AS all_events, count(*) OVER (e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM ev WINDOW e AS (PARTITION BY interaction_id, episode ORDER BY seq)) WHERE type = 'action:purchase'")
@@ -327,3 +327,127 @@ def provenance_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey").join(t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     q = rows.groupBy(F.col("n_name").alias("scope"), F.col("o_orderpriority").alias("clause")).agg(F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("holds"), F.count(F.lit(1)).alias("of"))
     return calibrate.provenance(q, own=0.35, borrowed=2)
+
+
+_SCAN = """
+WITH x AS (
+  SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS line FROM events
+), part AS (
+  SELECT x.*, CAST(p AS BIGINT) AS part FROM x, (SELECT unnest(range(2)) AS p) WHERE p = 0 OR event_type = 'click'
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY line, part) - 1 AS ord FROM part
+), ev AS (
+  SELECT user_id, ord, CAST(ord + max(ms - ord) OVER (PARTITION BY user_id ORDER BY ord) AS BIGINT) AS at_ms,
+         CASE event_type WHEN 'signup' THEN 'customer' WHEN 'error' THEN 'system' ELSE 'action' END AS speaker,
+         CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'click' THEN 'Bash' END AS tool, CASE WHEN event_type = 'click' THEN 'git' END AS verb,
+         CASE WHEN event_type = 'click' THEN CASE part WHEN 0 THEN 'status' ELSE 'push' END END AS sub, CASE event_type WHEN 'error' THEN 'failed' END AS result,
+         CASE WHEN event_type IN ('view', 'purchase') THEN '.md' END AS ext,
+         '/' || line || CASE WHEN event_type = 'signup' THEN '' ELSE '/content/0' END || CASE WHEN event_type = 'click' THEN '/segment/' || part ELSE '' END AS path FROM e
+), named AS (
+  SELECT DISTINCT user_id, 'cc-shop-' || substr('u' || lpad(CAST(user_id AS VARCHAR), 7, '0'), 1, 8) AS id FROM ev WHERE user_id IN (SELECT user_id FROM ev WHERE speaker = 'action')
+)
+"""
+
+
+@query(_SCAN + "SELECT id AS interaction_id, ord, at_ms, speaker, tool, verb, sub, ext, result, path FROM ev JOIN named USING (user_id)")
+def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of transcripts that events are written out as."""
+    e = transcripts.scan(B.event_transcripts(spark, sf_dir)).events
+    f = lambda k: F.col("features")[k]["v"].alias(k)
+    return e.select("interaction_id", "ord", F.col("at").alias("at_ms"), f("speaker"), f("tool"), f("verb"), f("sub"), F.col("slots")["ext"]["v"].alias("ext"), "result", F.col("raw.path").alias("path"))
+
+
+@query(_SCAN + """, s AS (
+  SELECT user_id, arg_max(result, ord) FILTER (speaker = 'system') AS last_result, count(*) FILTER (result = 'failed') AS errors FROM ev GROUP BY 1
+), p AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS prompts, min(ms) AS started_at, arg_max(ms, line) AS ended FROM x GROUP BY 1)
+SELECT id, 'shop' AS operator, 'm-' || user_id % 3 AS agent, started_at, CASE WHEN last_result = 'failed' THEN 'failed' ELSE 'resolved' END AS outcome, ended AS outcome_at, CAST(greatest(prompts, 1) AS VARCHAR) AS expected_episodes, CAST(errors AS VARCHAR) AS errors, 'true' AS on_default
+FROM named JOIN s USING (user_id) JOIN p USING (user_id)""")
+def transcript_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = transcripts.scan(B.event_transcripts(spark, sf_dir)).interactions
+    hint = lambda k: F.col("hints")[k]["v"].alias(k)
+    return i.select("id", F.col("actor.operatorId").alias("operator"), F.col("actor.agentId").alias("agent"), "started_at", F.col("outcome.label").alias("outcome"), F.col("outcome.at").alias("outcome_at"), hint("expected_episodes"), hint("errors"), F.col("facts")["git.on_default"]["v"].alias("on_default"))
+
+
+_OUTCOMES = _EV + """, o AS (SELECT interaction_id, CASE WHEN bool_or(type = 'action:purchase') THEN 'bought' WHEN NOT bool_or(type = 'action:click') THEN 'passed by' WHEN arg_max(coalesce(result, ''), seq) = 'failed' THEN 'stuck' WHEN TRY_CAST(interaction_id AS BIGINT) % 2 = 0 THEN 'even' END AS outcome, max(at_ms) AS outcome_at FROM ev GROUP BY 1)
+"""
+
+
+@query(_OUTCOMES + "SELECT interaction_id, outcome, CASE WHEN outcome IS NOT NULL THEN outcome_at END AS outcome_at FROM o")
+def outcome_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by all four forms of rule, the first that holds."""
+    i = B.corpus(spark, sf_dir).interactions
+    return i.select(F.col("id").alias("interaction_id"), F.col("outcome.label").alias("outcome"), F.col("outcome.at").alias("outcome_at"))
+
+
+@query(_OUTCOMES + "SELECT outcome, count(*) AS n FROM o WHERE outcome IS NOT NULL GROUP BY 1")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.outcomes(B.corpus(spark, sf_dir).interactions)
+
+
+@query(_EV + "SELECT 1 AS operators, count(DISTINCT CAST(interaction_id AS BIGINT) % 5) AS teams, count(DISTINCT interaction_id) AS agents FROM ev")
+def actor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.actors(B.corpus(spark, sf_dir).interactions)
+
+
+@query(_EV + ", n AS (SELECT interaction_id, count(DISTINCT episode) AS n, count(*) FILTER (kind = 'customer_intent') AS expected FROM ev GROUP BY 1) SELECT count(*) AS interactions, avg(CASE WHEN n = expected THEN 1.0 ELSE 0.0 END) AS agreement FROM n")
+def segmentation_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.agreement(B.corpus(spark, sf_dir))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, l.level, CASE l.level WHEN 'agent' THEN 'u' || user_id WHEN 'team' THEN 't' || user_id % 5 ELSE 'shop' END AS level_id FROM (SELECT DISTINCT user_id FROM events), (VALUES ('agent'), ('team'), ('operator')) l(level)")
+def actor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.corpus(spark, sf_dir).interactions.select("id", F.explode(record.actor_levels(F.col("actor"))).alias("x")).select("id", "x.level", F.col("x.id").alias("level_id"))
+
+
+@query(_EV + ", b AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN -1 ELSE seq END AS seq2, event_id % 89 = 0 AS nokind, event_id % 83 = 0 AS odd FROM ev), f AS (SELECT interaction_id, CASE WHEN seq2 < 0 THEN 'seq' WHEN nokind THEN 'kind' WHEN odd THEN 'result' END AS place FROM b), r AS (SELECT interaction_id FROM b GROUP BY 1 HAVING min(seq2) <> 0 OR max(seq2) <> count(*) - 1 OR count(DISTINCT seq2) <> count(*)) SELECT place, count(*) AS n FROM (SELECT place FROM f WHERE place IS NOT NULL UNION ALL SELECT 'events' FROM r) GROUP BY 1")
+def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults planted by event id, found again by place."""
+    e, n = B.corpus(spark, sf_dir).events, F.col("event_id")
+    e = e.withColumn("seq", F.when(n % 97 == 0, -1).otherwise(F.col("seq"))).withColumn("kind", F.when(n % 89 == 0, "guess").otherwise(F.col("kind"))).withColumn("result", F.when(n % 83 == 0, "maybe").otherwise(F.col("result")))
+    return record.event_faults(e).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_EV + ", p AS (SELECT count(*) AS events, count(*) FILTER (kind = 'action') AS actions, count(DISTINCT interaction_id) AS interactions FROM ev) SELECT interactions, events, actions, CAST(0 AS BIGINT) AS unknown_events, CAST(0 AS DOUBLE) AS unknown_rate FROM p")
+def report_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([report.coverage(B.corpus(spark, sf_dir))], "interactions long, events long, actions long, unknown_events long, unknown_rate double")
+
+
+@query(_CLAUSES + ", s2 AS (SELECT clause, violated, exercised, CAST(row_number() OVER (ORDER BY violated / exercised DESC, violated DESC) AS INTEGER) AS place FROM x WHERE violated > 0) SELECT * FROM s2")
+def report_violated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken clauses in the report's order: most often broken first."""
+    got = report.report(B.corpus(spark, sf_dir), B.contracts())["violated"]
+    return spark.createDataFrame([(v["id"], v["violated"], v["exercised"], k) for k, v in enumerate(got, 1)], "clause string, violated long, exercised long, place int")
+
+
+_NAME = "'name#' || substr(sha256('shop' || chr(0) || 'name' || chr(0) || c_name), 1, 12)"
+
+
+@query(rf"""SELECT c_custkey, {_NAME} AS name, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'h#' || substr(sha256(c_mktsegment), 1, 24) END AS segment,
+CASE WHEN c_nationkey < 10 THEN CAST(c_nationkey AS VARCHAR) END AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'call ' || 'note#' || substr(sha256('shop' || chr(0) || 'note' || chr(0) || lpad(CAST(c_custkey AS VARCHAR), 8, '7')), 1, 12) ELSE 'none' END AS note, c_custkey % 5 = 0 AS keeps_null FROM customer""")
+def slot_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named rules with exceptions, a dropped slot, a pattern whose surrogate is named after its slot, and nulls that stay."""
+    c = B.table(spark, sf_dir, "customer")
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("call "), F.lpad(F.col("c_custkey").cast("string"), 8, "7"))).otherwise("none")
+    slots = F.create_map(F.lit("name"), S.text(F.col("c_name")), F.lit("segment"), S.text(F.col("c_mktsegment")), F.lit("nation"), S.number(F.col("c_nationkey")), F.lit("note"), S.text(note))
+    gone = F.map_filter(F.create_map(F.lit("gone"), S.literal(None)), lambda k, v: F.col("c_custkey") % 5 == 0)
+    got = c.select("c_custkey", redact(B.parse_alphabet(B.REDACTING), F.map_concat(slots, gone)).alias("r"))
+    value = lambda k: F.col("r")[k]["v"].alias(k)
+    return got.select("c_custkey", value("name"), value("segment"), value("nation"), value("note"), F.map_contains_key("r", "gone").alias("keeps_null"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g') AS t1 FROM documents), b AS (SELECT *, regexp_replace(t1, '\bhttps?://[^\s<>"'')\]]+', '<url>', 'g') AS t2 FROM a)
+SELECT doc_id, regexp_replace(t2, '[0-9]{5,}', '<number>', 'g') AS text, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS n_email, CAST(len(regexp_extract_all(t1, '\bhttps?://[^\s<>"'')\]]+')) AS INTEGER) AS n_url, CAST(len(regexp_extract_all(t2, '[0-9]{5,}')) AS INTEGER) AS n_number FROM b""")
+def text_redaction_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile that only drops: its marks are no surrogates, so each rule sees the text that the one before left."""
+    rows = B.table(spark, sf_dir, "documents").select("doc_id", texts.redact_text(F.col("text"), DROPPING).alias("r"))
+    return rows.select("doc_id", F.col("r.after").alias("text"), *(F.col("r.fired")[k].alias(f"n_{k}") for k in ("email", "url", "number")))
+
+
+DROPPING = """
+corpus: documents
+version: 1
+rules:
+  - {pattern: email, strategy: drop}
+  - {pattern: url, strategy: drop}
+  - {pattern: digits, strategy: drop, minDigits: 5, as: number}
+"""
