@@ -24,9 +24,15 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def told_events(corpus: Corpus, clauses: list[C.Clause]) -> DataFrame:
+    """The corpus's events, with their interaction's facts if a clause asks for one."""
+    asked = any(c.when and not c.when["fact"].startswith("slot.") and c.when["fact"] != "episode.intent" for c in clauses)
+    return corpus.events.join(corpus.interactions.select(F.col("id").alias("interaction_id"), "facts"), "interaction_id", "left") if asked else corpus.events
+
+
 def examples(corpus: Corpus, clauses: list[C.Clause], violated: bool = True, n: int = SAMPLED) -> DataFrame:
     """(clause, interaction_id, episode, seq): at most ``n`` of a clause's instances that broke it, or kept it, evenly spaced."""
-    found = C.violations(corpus.events, clauses, corpus.alphabet).where(F.col("violated") == violated)
+    found = C.violations(told_events(corpus, clauses), clauses, corpus.alphabet).where(F.col("violated") == violated)
     return C.even_sample(found, ["interaction_id", "seq"], n, "clause").select("clause", "interaction_id", "episode", "seq")
 
 
@@ -40,7 +46,7 @@ def coverage(corpus: Corpus) -> dict:
 def report(corpus: Corpus, clauses: list[C.Clause], name: str = "", version: int = 1) -> dict:
     """What was kept, broken, never came up and cannot be checked. The most often broken rule comes first."""
     text = {c.id: c.text for c in clauses}
-    verdicts = sorted(_rows(C.buckets(C.exercise(corpus.events, clauses, corpus.alphabet))), key=lambda r: r["no"])
+    verdicts = sorted(_rows(C.buckets(C.exercise(told_events(corpus, clauses), clauses, corpus.alphabet))), key=lambda r: r["no"])
     some: dict[str, list[str]] = {}
     for r in sorted(_rows(examples(corpus, clauses)), key=lambda r: (r["clause"], r["interaction_id"], r["seq"])):
         some.setdefault(r["clause"], []).append(f"{r['interaction_id']}#{r['seq']}")

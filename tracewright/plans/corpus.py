@@ -32,8 +32,12 @@ def _belongs(family: str, name: str) -> bool:
     return name == family or name.startswith(f"{family}-")
 
 
-def build(raw: RawCorpus, alphabet: A.Alphabet, name: str, *, segmenter: str = "intent", scope_by: str | None = None, validate: bool = True) -> Corpus:
-    """The corpus of raw interactions: families must fit, and with ``scope_by`` a hint takes the actor's place."""
+def build(raw: RawCorpus, alphabet: A.Alphabet, name: str, *, segmenter: str = "intent", scope_by: str | None = None, validate: bool = True, store: str | None = None) -> Corpus:
+    """The corpus of raw interactions: families must fit, and with ``scope_by`` a hint takes the actor's place.
+
+    With ``store``, a folder that all executors share, typed events and interactions are written
+    there once, so that figures read them and not the source.
+    """
     if not _belongs(alphabet.corpus, name):
         raise CorpusError(f"the alphabet is for corpus {alphabet.corpus!r}, not {name!r}")
     other = raw.interactions.where(~((F.col("corpus") == name) | F.startswith(F.lit(name), F.concat("corpus", F.lit("-"))))).first()
@@ -47,10 +51,17 @@ def build(raw: RawCorpus, alphabet: A.Alphabet, name: str, *, segmenter: str = "
             raise CorpusError(f"{lacks['id']} has no hint {scope_by!r}")
         none = F.lit(None).cast("string")
         interactions = interactions.withColumn("actor", F.struct(F.col("hints")[scope_by]["v"].alias("operatorId"), none.alias("teamId"), none.alias("agentId")))
-    if validate:
-        require_valid(interactions, events)
     missed = raw.events.where(A.classify(alphabet, F.col("features")).isNull())
     shapes = missed.groupBy(A.shape(F.col("features")).alias("features")).agg(F.count(F.lit(1)).alias("n"))
+    if store:
+        spark = events.sparkSession
+        tables = {}
+        for table, df in (("events", events), ("interactions", interactions), ("shapes", shapes)):
+            df.write.mode("overwrite").parquet(f"{store}/{table}")
+            tables[table] = spark.read.schema(df.schema).parquet(f"{store}/{table}")
+        events, interactions, shapes = tables["events"], tables["interactions"], tables["shapes"]
+    if validate:
+        require_valid(interactions, events)
     return Corpus(name, alphabet, interactions, events, shapes, segmenter, raw.meta)
 
 

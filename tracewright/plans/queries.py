@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import audit, calibrate, check, record, report
 from ..operators import text as texts
-from ..sources import transcripts
+from ..sources import observations, transcripts
+from ..sources import texts as raw_texts
 from . import bindings as B
+from . import predicates
 from .alphabet import classify, redact, shape
 
 #: DuckDB's view of the typed, segmented log over events.
@@ -451,3 +453,39 @@ rules:
   - {pattern: url, strategy: drop}
   - {pattern: digits, strategy: drop, minDigits: 5, as: number}
 """
+
+
+PREDICATES = """
+corpus: documents
+version: 3
+model: m-1
+redaction: text.documents@1
+predicates:
+  - {id: q, fact: obs.good, status: real, quadrant: text-closed, source: event.text, window: event, question: "Is it stated?", bands: {assertAt: 0.7, refuteAt: 0.3},
+     calibration: {at: "2026-01-01", corpusRevision: abc, alphabetVersion: 1, n: 80, labels: {"true": 40, "false": 40}, assertPrecision: 0.95, refutePrecision: 0.9, withheldFraction: 0.2, reviewer: someone}}
+  - {id: r, fact: obs.bad, status: proposed, quadrant: text-closed, source: event.text, window: event, question: "Is it denied?", bands: {assertAt: 0.5, refuteAt: -1}}
+"""
+
+
+def _annotated(spark, sf_dir):
+    known = predicates.parse_predicates(PREDICATES)
+    d = F.col("doc_id")
+    rows = B.table(spark, sf_dir, "labels").select(d.cast("string").alias("i"), F.concat(d.cast("string"), F.lit("#0")).alias("e"), F.lit(0).alias("seq"), F.explode(F.array(F.lit("q"), F.lit("r"))).alias("pred"), (d * 37 % 101 / 100).alias("p"))
+    return rows.withColumn("fact", F.when(F.col("pred") == "q", "obs.good").otherwise("obs.bad")).withColumn("value", predicates.emitted(known, F.col("pred"), F.col("p")))
+
+
+@query("WITH q AS (SELECT doc_id, (doc_id * 37 % 101) / 100 AS p FROM labels) SELECT CAST(doc_id AS VARCHAR) AS i, CASE WHEN p >= 0.7 THEN 'true' WHEN p <= 0.3 THEN 'false' END AS good, CAST(NULL AS VARCHAR) AS bad, CASE WHEN p >= 0.7 OR p <= 0.3 THEN 'obs.bad' ELSE 'obs.bad,obs.good' END AS missing FROM q")
+def observed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of annotated places: withheld ones, and those of a predicate that is not in service, are absent."""
+    rows = _annotated(spark, sf_dir)
+    facts = observations.observed_facts(rows).select("i", F.col("facts")["obs.good"]["v"].alias("good"), F.col("facts")["obs.bad"]["v"].alias("bad"))
+    missing = observations.missing_facts(rows, ["obs.good", "obs.bad"]).select("i", F.array_join("missing", ",").alias("missing"))
+    return facts.join(missing, "i")
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN text END AS text, substr(sha256(text), 1, 16) AS sha FROM conversations")
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of raw transcript records, and the digest that an annotation keeps of them."""
+    record_of = F.parse_json(F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("role"), F.col("text").alias("content")).alias("message"))))
+    rows = B.table(spark, sf_dir, "conversations").withColumn("record", record_of)
+    return rows.select("conv_id", "turn", raw_texts.texts_for("cc")(F.col("record")).alias("text"), observations.sha16(F.col("text")).alias("sha"))
