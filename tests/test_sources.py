@@ -143,12 +143,12 @@ def test_report_and_audit_of_transcripts(spark, transcript_folder, tmp_path):
     assert r["kept"] == [] and [(v["id"], v["violated"], v["exercised"]) for v in r["violated"]] == [("look-before-commit", 1, 1), ("test-before-commit", 1, 1)] and r["violated"][0]["examples"] == ["cc-shop-aaaaaaaa#4"]
     assert len(r["unreachable"]) == 3 and len(r["never_exercised"]) == 9
     assert {a["type"]: (a["n"], a["failed"]) for a in r["inventory"]}["unknown"] == (2, 1)
-    assert cli.main(["cc-x"], out.append, err.append, str(tmp_path), spark=spark) == 0 and "broken 1 of 1 times (100.0%)" in out.pop()
+    assert "broken 1 of 1 times (100.0%)" in report.render_report(r)
     assert cli.main(["audit", "cc-x", "--json"], out.append, err.append, str(tmp_path), spark=spark) == 0
     a = json.loads(out.pop())
     assert a["outcomes"] == {"failed": 1, "interrupted": 1, "resolved": 1} and a["actors"] == {"operators": 2, "teams": 0, "agents": 1} and [s["type"] for s in a["subjects"]] == ["action:git-commit"] and not a["nothing_to_say"]
     assert a["episodes"]["truth"]["interactions"] == 3
-    assert cli.main(["audit", "cc-x"], out.append, err.append, str(tmp_path), spark=spark) == 0 and "unnamed events: 2 (13.3%)" in out.pop()
+    assert "unnamed events: 2 (13.3%)" in report.render_audit(a)
     assert cli.main(["nothing"], out.append, err.append, str(tmp_path)) == 1 and "no corpus" in err.pop()
     assert cli.main([], out.append, err.append, str(tmp_path), home=str(tmp_path)) == 1 and cli.main(["--help"], out.append, err.append) == 0
     home = tmp_path / "home"
