@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 #: Chunks whose results a worker keeps.
-CACHE = 150_000
+CACHE = 200_000
 #: New chunks that are searched together; longer ones than _WIDE are searched alone.
 _MANY, _WIDE = 5_000, 64
 #: Bytes of text that are searched together.
@@ -233,17 +233,23 @@ class Lattice:
         got = [self.chunk(c) for c in chunks]
         self.put(chunks, [x[0] for x in got], [x[2] for x in got], [len(x[1]) for x in got], list(chain.from_iterable(x[1] for x in got)))
 
-    def prepare(self, texts) -> list[list[str]]:
-        """The texts' chunks, after all of them that are not in the cache have been searched, many at once."""
+    def prepare(self, texts) -> list[tuple[list[str], np.ndarray]]:
+        """The texts' chunks and their numbers in the cache, after all that it lacks have been searched, many at once. A mark has number -1."""
         if len(self.index) >= CACHE:
             self.forget()
         cut = [self.chunks(t) for t in texts]
-        new = set(chain.from_iterable(cut)) - self.index.keys() - {_MARK}
-        short = sorted(c for c in new if len(c) <= _WIDE)
-        for k in range(0, len(short), _MANY):
-            self.learn(short[k : k + _MANY])
-        self.learn_alone(sorted(c for c in new if len(c) > _WIDE))
-        return cut
+        flat = list(chain.from_iterable(cut))
+        which = list(map(self.index.get, flat))
+        if None in which:
+            new = {c for c, k in zip(flat, which, strict=True) if k is None} - {_MARK}
+            short = sorted(c for c in new if len(c) <= _WIDE)
+            for k in range(0, len(short), _MANY):
+                self.learn(short[k : k + _MANY])
+            self.learn_alone([c for c in new if len(c) > _WIDE])
+            which = [self.index.get(c, -1) if k is None else k for c, k in zip(flat, which, strict=True)]
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        which = np.array(which, np.int64)
+        return [(c, which[i:j]) for c, i, j in zip(cut, ends[:-1], ends[1:], strict=True)]
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one chunk by A* from its end: f is the score so far plus the forward score."""
@@ -275,9 +281,9 @@ class Lattice:
         return _CHUNK.findall((" " + text).replace(SPACE, _MARK).replace(" ", SPACE)) if text else []
 
 
-    def encode(self, text: str, n: int = N_BEST, cut: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a whole text: (score, ids), best first. ``cut``: its chunks, if it was prepared."""
-        cut = self.prepare([text])[0] if cut is None else cut
+    def encode(self, text: str, n: int = N_BEST, prepared: tuple[list[str], np.ndarray] | None = None) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a whole text: (score, ids), best first. ``prepared``: what ``prepare`` gave for it."""
+        cut, which = self.prepare([text])[0] if prepared is None else prepared
         if not cut:
             return [(0.0, np.zeros(0, np.int32))]
         if _MARK in cut:
@@ -285,7 +291,6 @@ class Lattice:
             score, loss, paths = zip(*((self.floor, _INF, np.array(self.fallback(next(literal)), np.int32)) if c == _MARK else ((x := self.held(c))[0], x[2], np.array(x[1], np.int32)) for c in cut), strict=True)
             score, loss, count, best = np.array(score), np.array(loss), np.array([len(x) for x in paths]), np.concatenate(paths)
         else:
-            which = np.fromiter(map(self.index.__getitem__, cut), np.int64, len(cut))
             score, loss, count = self.score[which], self.loss[which], self.count[which]
             best = self.pool[np.repeat(self.at[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
         total = float(score.sum())
@@ -376,7 +381,7 @@ def _searched(docs: DataFrame, model: str, n_best: int, id_col: str, text_col: s
         for batch in batches:
             for part in text_slices(batch, "text", limit=_TOGETHER):
                 texts = part.column("text").to_pylist()
-                got = [m.encode(t, n_best, cut) for t, cut in zip(texts, m.prepare(texts), strict=True)]
+                got = [m.encode(t, n_best, prepared) for t, prepared in zip(texts, m.prepare(texts), strict=True)]
                 made = {"doc_id": part.column("doc_id"), **columns(m, texts, got)}
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
         # the worker may go on to other work: only the model stays
