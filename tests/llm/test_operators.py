@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tracewright.llm import decontamination as dec
@@ -140,6 +141,23 @@ def test_stored_postings(spark, odd):
         assert (np.diff(terms.astype(object)) > 0).all()
 
 
+def test_stored_postings_come_in_small_parts(spark):
+    # row groups and pages are held whole where they are written and read, so they must not grow with the rows of a task
+    docs = spark.range(6, numPartitions=1).selectExpr("id as doc_id", "array_join(transform(sequence(0, 120000), x -> x * 7 + id), ' ') as text")
+    index = dec.build_index(docs)
+    seen = 0
+    for f in index.inputFiles():
+        file = pq.ParquetFile(f.removeprefix("file://"))
+        for g in range(file.num_row_groups):
+            group, rows = file.metadata.row_group(g), file.read_row_group(g, ["terms", "counts", "postings"])
+            seen += group.num_rows
+            one = max(sum(len(x) for x in r.values()) for r in rows.to_pylist())
+            assert group.total_byte_size <= (1 << 22) + one + (1 << 16)
+    assert seen == index.count() == 6
+    bench = spark.createDataFrame([(1, " ".join(str(x * 7 + 3) for x in range(119_000, 119_010)))], "item_id long, text string")
+    assert {r["doc_id"]: len(r["items"]) for r in dec.search(index, bench).collect()} == {k: int(k == 3) for k in range(6)}
+
+
 def test_one_huge_item_goes_out_in_blocks(spark):
     rng = random.Random(15)
     item = text(rng, VOCABULARY, 3000)

@@ -76,7 +76,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     made = rows.mapInArrow(released(make), f"ids array<{kind}>, keys array<binary>, n_words array<int>, terms binary, counts binary, postings binary")
-    return materialise(made.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    return materialise(made.withColumn("segment", F.monotonically_increasing_id()), "postings", large_rows=True)
 
 
 @dataclass
