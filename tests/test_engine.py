@@ -1,6 +1,8 @@
 """Shell commands, the intent segmenter, text redaction and calibration on small cases worked out by hand."""
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import calibrate, segment, text
 
@@ -29,6 +31,20 @@ def test_shell_parts(spark):
     assert [[(x["verb"], x["sub"]) for x in r["p"]] for r in rows][1:] == [[(None, None)], [(None, None)]]
 
 
+@pytest.mark.parametrize("step", [text.shell_parts, lambda t: text.redact_text(t, "{corpus: c, version: 1, rules: [{pattern: email, strategy: token}]}")])
+def test_texts_go_to_workers_in_small_batches(spark, step):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+
+    @F.pandas_udf("int")
+    def rows_of_batch(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    for size, most in ((10, 1024), (4096, 300)):
+        rows = spark.range(4000, numPartitions=1).select(F.rpad(F.col("id").cast("string"), size, " x").alias("t"))
+        assert rows.select(step(F.col("t")).alias("x"), rows_of_batch("t").alias("n")).agg(F.count("x"), F.max("n")).first()[1] <= most
+
+
 @pytest.mark.parametrize(("log", "want"), [("AIXIYI", "011222"), ("IXIIY", "00111"), ("I", "0"), ("XY", "00")])
 def test_intents_open_episodes(spark, log, want):
     rows = [("a", k, "customer_intent" if c == "I" else "action", c) for k, c in enumerate(log)]
