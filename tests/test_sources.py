@@ -77,6 +77,19 @@ def test_transcripts(spark, transcript_folder):
     assert set(alone) == {"cc-stop-stop"}
 
 
+def test_transcripts_are_parsed_once_for_events_and_once_for_sessions(spark):
+    talk = [line("user", "go", 1), "{broken", line("assistant", call("Bash", command="git add x; git push"), model="m2"), line("assistant", call("Read") + [{"type": "text", "text": "t"}], 3, model="m3"), line("assistant", [], model="m2"), line("assistant", "x", model="m3"), "", "[1"]
+    c = transcripts.scan(spark.createDataFrame([("/p/a.jsonl", "p", "\n".join(talk)), ("/p/b.jsonl", "p", "{broken\n[1"), ("/p/c.jsonl", "p", None)], "file string, project string, text string"))
+    for table, splitters, parsers in ((c.events, 1, 2), (c.interactions, 0, 1)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == splitters and plan.count("parseJson") == parsers
+    (s,) = c.interactions.collect()
+    # each model has two records, one of them with two blocks: the first by name
+    assert s["actor"]["agentId"] == "m2" and plain(s["hints"])["models"] == "2" and s["outcome"]["at"] - s["started_at"] == 2000
+    events = sorted(c.events.collect(), key=lambda e: e["ord"])
+    assert [(e["at"] - s["started_at"], e["raw"]["path"]) for e in events] == [(0, "/0"), (1, "/2/content/0/segment/0"), (2, "/2/content/0/segment/1"), (2000, "/3/content/0"), (2001, "/3/content/1")]
+
+
 def test_planted(spark, tmp_path):
     doc = {"corpus": "syn", "interactions": [
         {"id": "b", "operator": "o", "startedAt": 5000, "turns": []},

@@ -49,9 +49,12 @@ def extension(file: Column) -> Column:
 
 
 def records(texts: DataFrame) -> DataFrame:
-    """(file, project, line, at, …) of every line that is a JSON record; ``texts``: file, project, text."""
+    """(file, project, line, at, …) of every line that is not empty; ``texts``: file, project, text.
+
+    A line that is no JSON record says nothing, so that no event comes of it; a filter here would parse each line twice.
+    """
     lines = texts.select("file", "project", F.posexplode(F.split("text", "\n")).alias("line", "value")).where("value != ''")
-    r = lines.withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull()).drop("value")
+    r = lines.withColumn("v", F.try_parse_json("value")).drop("value")
     v = F.col("v")
     r = r.select(
         "file", "project", "line", V.epoch_millis(V.text_at(v, "$.timestamp")).alias("ms"), V.text_at(v, "$.sessionId").alias("session"), V.text_at(v, "$.version").alias("version"),
@@ -62,12 +65,12 @@ def records(texts: DataFrame) -> DataFrame:
     return r.withColumn("at", F.coalesce(carried(F.col("ms"), ["file"], "line"), F.lit(0).cast("long")))
 
 
-def raw_events(r: DataFrame) -> DataFrame:
-    """The events of ``records``, with the flags that a session's outcome is made of."""
+def blocks(r: DataFrame) -> DataFrame:
+    """The blocks of ``records``, one at least of each, with what event each is; null if none."""
     is_text = V.kind_of(F.col("content")) == "STRING"
     said = F.when(is_text, F.col("content").try_cast("string"))
-    blocks = F.when(V.kind_of(F.col("content")).startswith("ARRAY"), F.col("content").try_cast("array<variant>"))
-    b = r.withColumn("said", said).select("file", "project", "line", "at", "kind", "meta", "role", "said", F.posexplode_outer(blocks).alias("block", "b"))
+    several = F.when(V.kind_of(F.col("content")).startswith("ARRAY"), F.col("content").try_cast("array<variant>"))
+    b = r.select(*(c for c in r.columns if c != "content"), said.alias("said"), F.posexplode_outer(several).alias("block", "b"))
     v = F.col("b")
     b = b.select(
         "*", V.text_at(v, "$.type").alias("b_type"), F.nullif(V.text_at(v, "$.name"), F.lit("")).alias("tool"), V.text_at(v, "$.text").alias("b_text"), F.coalesce(V.at(v, "$.is_error", "boolean"), F.lit(False)).alias("failed"),
@@ -83,12 +86,17 @@ def raw_events(r: DataFrame) -> DataFrame:
         F.when(text_event & stopped, "interrupt").when(text_event & (F.col("kind") == "user"), "customer")
         .when(is_result, "tool_result").when(is_agent, "agent").when(is_call, "action")
     )
-    b = b.withColumn("what", what).where("what is not null")
-    shell = F.col("tool").isin(*SHELLS) & F.col("command").isNotNull() & (F.col("what") == "action")
-    # only shell commands go through the splitter
-    calls = b.where(shell).withColumn("parts", shell_parts(F.col("command"))).select("*", F.posexplode("parts").alias("part", "p")).drop("parts")
-    others = b.where(~F.coalesce(shell, F.lit(False))).withColumn("part", F.lit(0)).withColumn("p", F.lit(None).cast("struct<segment:string,verb:string,sub:string>"))
-    e = calls.unionByName(others)
+    stops = (F.col("what") == "interrupt") | ((F.col("what") == "agent") & F.coalesce(F.col("b_text").rlike(INTERRUPT), F.lit(False)))
+    return b.withColumn("what", what).withColumn("stops", stops)
+
+
+def raw_events(b: DataFrame) -> DataFrame:
+    """The events of ``blocks``."""
+    b = b.where("what is not null")
+    shell = F.coalesce(F.col("tool").isin(*SHELLS) & F.col("command").isNotNull() & (F.col("what") == "action"), F.lit(False))
+    # one pass for shell commands and all else: the splitter gets a null for what is no command; a plain explode would have it run again, in a filter on its result
+    parts = b.withColumn("shell", shell).withColumn("parts", shell_parts(F.when(F.col("shell"), F.col("command"))))
+    e = parts.select("*", F.posexplode_outer(F.when(F.col("shell"), F.col("parts"))).alias("part", "p")).drop("parts").withColumn("part", F.coalesce("part", F.lit(0)))
     speaker = F.when(F.col("what").isin("interrupt", "tool_result"), "system").otherwise(F.col("what"))
     some = lambda c, ok: F.when(ok & c.isNotNull(), S.text(c))
     action = F.col("what") == "action"
@@ -99,28 +107,30 @@ def raw_events(r: DataFrame) -> DataFrame:
     plain = action & F.col("p").isNull()
     slots = V.present(file=some(F.col("path"), plain), ext=some(extension(F.col("path")), plain & F.col("path").isNotNull()), subagent_type=some(F.col("subagent"), plain & (F.col("tool") == "Agent")), skill=some(F.col("skill"), plain & (F.col("tool") == "Skill")))
     pointer = F.concat(F.lit("/"), F.col("line").cast("string"), F.coalesce(F.concat(F.lit("/content/"), F.col("block").cast("string")), F.lit("")), F.when(F.coalesce(F.col("p.segment") != "", F.lit(False)), F.concat(F.lit("/segment/"), F.col("part").cast("string"))).otherwise(""))
-    e = e.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("line", F.coalesce("block", F.lit(-1)), "part")).cast("long") - 1)
+    order = ["line", "block", "part"]  # of both windows, so that rows are sorted once; a null block comes first
+    e = e.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy(*order)).cast("long") - 1)
     return e.select(
-        "file", "project", "ord", "what", nudged(F.col("at"), F.col("ord"), ["file"], "ord").alias("at"), features.alias("features"), slots.alias("slots"),
-        F.when(F.col("what") == "tool_result", F.when(F.col("failed"), "failed").otherwise("ok")).alias("result"), F.struct("file", pointer.alias("path")).alias("raw"),
-        ((F.col("what") == "interrupt") | ((F.col("what") == "agent") & F.coalesce(F.col("b_text").rlike(INTERRUPT), F.lit(False)))).alias("stops"),
+        "file", "project", "ord", "what", nudged(F.col("at"), F.col("ord"), ["file"], *order).alias("at"), features.alias("features"), slots.alias("slots"),
+        result_of().alias("result"), F.struct("file", pointer.alias("path")).alias("raw"),
     )
 
 
-def sessions(r: DataFrame, e: DataFrame) -> DataFrame:
-    """One interaction for each session with an action: ``records`` and their ``raw_events``."""
+def result_of() -> Column:
+    """What a tool's result says, of ``blocks``."""
+    return F.when(F.col("what") == "tool_result", F.when(F.col("failed"), "failed").otherwise("ok"))
+
+
+def sessions(b: DataFrame) -> DataFrame:
+    """One interaction for each session with an action, from its ``blocks`` in one pass."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line")))
-    own = r.groupBy("file", "project").agg(
-        first("session").alias("session"), first("version").alias("version"), first("entrypoint").alias("entrypoint"), first("branch").alias("branch"), F.count_distinct("prompt").alias("prompts"),
-        F.count_distinct("model").alias("models"), F.min_by("ms", F.when(F.col("ms") != 0, F.col("line"))).alias("started"), F.max_by("at", "line").alias("last"),
-    )
-    model = r.where("model is not null").groupBy("file", "model").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.min_by("model", F.struct(-F.col("n"), "model")).alias("model"))
+    first_block = F.coalesce("block", F.lit(0)) == 0
     done = F.col("what") == "tool_result"
-    seen = e.groupBy("file").agg(
-        F.bool_or(F.col("what") == "action").alias("acts"), F.bool_or("stops").alias("stopped"), F.sum((done & (F.col("result") == "failed")).cast("long")).alias("errors"),
-        F.max_by("result", F.when(done, F.col("ord"))).alias("last_result"),
+    s = b.groupBy("file", "project").agg(
+        first("session").alias("session"), first("version").alias("version"), first("entrypoint").alias("entrypoint"), first("branch").alias("branch"), F.size(F.collect_set("prompt")).alias("prompts"),
+        F.size(F.collect_set("model")).alias("models"), F.mode(F.when(first_block, F.col("model")), True).alias("model"), F.min_by("ms", F.when(F.col("ms") != 0, F.col("line"))).alias("started"),
+        F.coalesce(F.max_by("ms", F.when(F.col("ms").isNotNull(), F.col("line"))), F.lit(0).cast("long")).alias("last"), F.bool_or(F.col("what") == "action").alias("acts"), F.bool_or("stops").alias("stopped"),
+        F.sum((done & F.col("failed")).cast("long")).alias("errors"), F.max_by(result_of(), F.when(done, F.struct("line", F.coalesce("block", F.lit(-1))))).alias("last_result"),
     ).where("acts")
-    s = own.join(seen, "file").join(model, "file", "left")
     name = F.regexp_extract("file", r"([^/]*?)(\.jsonl)?$", 1)
     s = s.withColumn("base", F.concat(F.lit("cc-"), "project", F.lit("-"), F.substring(F.coalesce("session", name), 1, 8)))
     n = F.row_number().over(Window.partitionBy("base").orderBy("file")) - 1
@@ -136,8 +146,8 @@ def sessions(r: DataFrame, e: DataFrame) -> DataFrame:
 def scan(texts: DataFrame) -> RawCorpus:
     """The sessions and events of transcripts given as (file, project, text)."""
     r = records(texts)
-    e = raw_events(r)
-    s = sessions(r, e)
+    b = blocks(r)
+    e, s = raw_events(b), sessions(b)
     events = e.join(s.select("file", F.col("id").alias("interaction_id")), "file").select("interaction_id", "ord", "at", "features", "slots", "result", "raw")
     return RawCorpus(s.drop("file"), events)
 
